@@ -10,12 +10,12 @@ empty the ranks are doubled.  Equal coordinates have the probability of the
 weighted Jaccard.  ``BANDS`` bands of the signature propose candidates: at
 0.8 a pair shares none with a probability of 5e-8.
 
-Pairs are never made of whole buckets.  Texts with equal words collapse to one
-representative.  In each bucket every member is compared with the bucket's
-leader, the member with the most company in all its buckets; links give
-components; only members of one bucket that are still in different components
-are then compared with each other, if two bands or more propose them.  Each
-comparison is exact, over all shingles of both texts.
+Texts with equal words collapse to one representative first.  A bucket's
+members are then compared with each other exactly, over all shingles, where
+they lie: a bucket is cut into blocks of bounded size, each pair of blocks is
+a cell, and a cell's comparisons are products of its incidence matrix.  No
+pair becomes a row; a cell gives the links of a spanning forest, at most one
+for each member, and components of the links are the classes.
 
 Defined cases: a null or empty text, or one without words, is a class of its
 own; a text of one to four words is one shingle; repeated rows are members of
@@ -40,6 +40,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 COORDS = 128
 BANDS = 32
+#: A block of a bucket holds about so many texts, and so many shingles, at most.
+BLOCK_TEXTS = 1000
+BLOCK_SHINGLES = 400_000
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -148,45 +151,86 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose weighted Jaccard is ``SIMILAR`` or more."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb")) / F.lit(1.0)
-    found = pairs.join(side("a"), "a").join(side("b"), "b")
-    return found.where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Links that connect what similar pairs connect; if side has both values, only pairs across it are compared."""
+    n, sizes = len(keys), np.array([len(x) for x in sets])
+    rows = np.flatnonzero(side == side[0])
+    cols = np.flatnonzero(side != side[0]) if len(rows) < n else rows
+    flat, own = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    _, term, df = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = df[term] > 1
+    term, own = term[shared], own[shared]
+    order = np.argsort(term, kind="stable")
+    term, own = term[order], own[order]
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    first = np.concatenate([[True], term[1:] != term[:-1]]) if len(term) else np.zeros(0, bool)
+    rank = np.cumsum(first) - 1
+    for a in range(0, int(rank[-1]) + 1 if len(rank) else 0, 2048):
+        part = slice(*np.searchsorted(rank, (a, a + 2048)))
+        incidence = np.zeros((n, min(2048, int(rank[-1]) + 1 - a)), np.float32)
+        incidence[own[part], rank[part] - a] = 1
+        both += incidence[rows] @ incidence[cols].T
+    near = both >= SIMILAR * (sizes[rows][:, None] + sizes[cols][None, :] - both) - 1e-3
+    at = np.arange(n)
+
+    def root(x: int) -> int:
+        while at[x] != x:
+            at[x] = x = at[at[x]]
+        return x
+
+    links = []
+    for i in range(len(rows)):
+        for j in np.flatnonzero(near[i]):
+            x, y = int(rows[i]), int(cols[j])
+            if x != y and (rx := root(x)) != (ry := root(y)):
+                at[rx] = ry
+                links.append((keys[x], keys[y]))
+    return links
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in the order of their cells; a cell may reach over batches."""
+    held: list[tuple] = []
+    cell = None
+
+    def links() -> pa.RecordBatch:
+        found = forest([r[0] for r in held], np.array([r[1] for r in held]), [r[2] for r in held]) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame | None:
+    for batch in batches:
+        lists = batch.column("shingles")
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        for k, (band, i, j, key, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "key", "block")), strict=True)):
+            if (band, i, j) != cell:
+                yield links()
+                held, cell = [], (band, i, j)
+            held.append((key, block, values[ends[k] : ends[k + 1]].copy()))
+    yield links()
+
+
+def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, enough to connect every class."""
     reps = shared_table(sketches.where("key is not null").groupBy("key").agg(F.min_by(F.struct("th", "weight", "bands"), "th").alias("r")).select("key", "r.*"), "near-reps")
     rows = reps.select("key", "weight", F.explode("bands").alias("band"))
-    buckets = shared_table(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
-    members = shared_table(rows.join(buckets, "band"), "near-members")
-    company = members.groupBy("key").agg(F.sum("n").alias("company"))
-    members = shared_table(members.drop("n").join(company, "key"), "near-company")
-    leaders = shared_table(members.groupBy("band").agg(F.max(F.struct("company", "key", "weight")).alias("l")).select("band", F.col("l.key").alias("lead"), F.col("l.weight").alias("lead_weight")), "near-leaders")
-    ratio = F.least("weight", "lead_weight") >= SIMILAR * F.greatest("weight", "lead_weight")
-    pairs = members.join(leaders, "band").where((F.col("key") != F.col("lead")) & ratio).select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
-    pairs = shared_table(pairs, "near-pairs")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    buckets = shared_table(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), blocks).where("n > 1").drop("n"), "near-buckets")
+    members = shared_table(rows.join(buckets, "band").select("band", "key", "blocks"), "near-members")
     # Second reading of the texts: a Bloom filter leaves those of the representatives that some bucket holds.
-    wanted = members.select("key").distinct().join(reps.select("key", "th"), "key").select(F.col("th").cast("string").alias("__sha"))
+    wanted = members.select("key").distinct().join(reps.select("key", "th"), "key").select("key", F.col("th").cast("string").alias("__sha"))
     wanted = shared_table(wanted, "near-wanted")
     bits = exact_dedup.filter_bits(wanted.count())
-    blocks = shared_table(exact_dedup.repeated_filter(wanted.unionAll(wanted), "__sha", bits), "near-filter")
+    marks = wanted.select("__sha")
+    bloom = shared_table(exact_dedup.repeated_filter(marks.unionAll(marks), "__sha", bits), "near-filter")
     text = docs.select(F.xxhash64("text").cast("string").alias("__sha"), "text")
-    sets = exact_dedup.probe(text, "__sha", blocks, bits).where("__maybe").select("text").mapInArrow(_sets, "key binary, shingles array<int>")
-    sets = shared_table(sets.where("key is not null").groupBy("key").agg(F.first("shingles").alias("shingles")).join(members.select("key").distinct(), "key", "left_semi"), "near-sets")
-    edges = shared_table(_linked(pairs, sets), "near-links")
-    comp = components(edges)
-    placed = members.select("band", "key", "weight").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    placed = shared_table(placed, "near-placed")
-    mixed = shared_table(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band"), "near-mixed")
-    left = shared_table(placed.join(mixed, "band"), "near-left")
-    other = left.select("band", F.col("key").alias("b"), F.col("weight").alias("wb"), F.col("comp").alias("cb"))
-    across = left.join(other, "band").where((F.col("key") < F.col("b")) & (F.col("comp") != F.col("cb")) & (F.least("weight", "wb") >= SIMILAR * F.greatest("weight", "wb")))
-    across = across.groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    across = shared_table(across.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "near-across")
-    return edges.unionAll(_linked(across, sets))
+    sets = exact_dedup.probe(text, "__sha", bloom, bits).where("__maybe").select("text").mapInArrow(_sets, "key binary, shingles array<int>")
+    sets = shared_table(sets.where("key is not null").groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key"), "key", "left_semi"), "near-sets")
+    # Block b of a bucket meets each block c in the cell (least, greatest).
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    cells = members.withColumn("block", block).select("key", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
+    cells = cells.select("key", "band", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "block").join(sets, "key")
+    ordered = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return shared_table(ordered.select("band", "i", "j", "key", "block", "shingles").mapInArrow(_compare, "a binary, b binary").distinct(), "near-links")
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
