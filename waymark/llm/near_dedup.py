@@ -214,7 +214,10 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     reps = shared_table(sketches.where("key is not null").groupBy("key").agg(F.min_by(F.struct("th", "weight", "bands"), "th").alias("r")).select("key", "r.*"), "near-reps")
     rows = reps.select("key", "weight", F.explode("bands").alias("band"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    buckets = shared_table(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), blocks).where("n > 1").drop("n"), "near-buckets")
+    # Buckets of the same members are compared once: two hashes over the members tell them apart.
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
+    buckets = rows.groupBy("band").agg(*same, blocks).where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
+    buckets = shared_table(buckets.select("band", "blocks"), "near-buckets")
     members = shared_table(rows.join(buckets, "band").select("band", "key", "blocks"), "near-members")
     # Second reading of the texts: a Bloom filter leaves those of the representatives that some bucket holds.
     wanted = members.select("key").distinct().join(reps.select("key", "th"), "key").select("key", F.col("th").cast("string").alias("__sha"))
@@ -274,7 +277,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = shared_table(found.where("n > 1"), "near-found")
     # Only the rows that go, and those that stay but are repeated, are carried to the texts, by a Bloom filter first; most rows pass it without a shuffle.
     judged = rows.join(found, "comp").select("comp", F.col("doc_id").alias("at"), (F.col("doc_id") != F.col("first")).alias("goes"))
-    judged = judged.groupBy("comp", "at", "goes").agg(F.count(F.lit(1)).alias("n")).where("goes or n > 1")
+    judged = judged.groupBy("at", "goes").agg(F.count(F.lit(1)).alias("n")).where("goes or n > 1")
     gone = shared_table(judged.select(F.col("at.h").alias("__h"), F.col("at.i").alias("__i"), "goes"), "near-gone")
     key = lambda: F.concat_ws(":", F.col("__h").cast("string"), F.col("__i").cast("string"))
     bits = exact_dedup.filter_bits(gone.count())
