@@ -42,11 +42,12 @@ def iso(c: str):
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean order price of each day."""
-    return _read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.avg("o_totalprice").alias("x"))
+    """Mean order price of each day; summed in cents, so that the order of rows leaves no trace."""
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    return _read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg((cents / F.count("o_totalprice") / 100).alias("x"))
 
 
-DAILY = "daily as (select o_orderdate::date as d, avg(o_totalprice) as x from orders group by 1)"
+DAILY = "daily as (select o_orderdate::date as d, sum(round(o_totalprice * 100)::bigint)::double / count(o_totalprice) / 100 as x from orders group by 1)"
 CAL = DAILY + ", cal as (select unnest(generate_series((select min(d) from daily), (select max(d) from daily), interval 1 day))::date as d)"
 GRID = CAL + ", grid as (select d, x, (d - date '1992-01-01')::double as t from cal left join daily using (d))"
 
@@ -140,9 +141,9 @@ def trainer_and_masked_zone(spark, sf_dir):
 # Time series.
 
 
-@query(f"with {GRID} select d::varchar as d, round(x, 4) as x from grid")
+@query(f"with {GRID} select d::varchar as d, x from grid")
 def resample_daily_mean(spark, sf_dir):
-    return grid(spark, sf_dir).select(iso("d"), r4("x").alias("x"))
+    return grid(spark, sf_dir).select(iso("d"), "x")
 
 
 _SUM = "with e as (select user_id, ts::date as d, sum(case when event_type <> 'error' then value end) as x from events group by 1, 2), c as (select user_id, unnest(generate_series(min(d), max(d), interval 1 day))::date as d from e group by 1) select user_id, d::varchar as d, {} as x from c left join e using (user_id, d)"
@@ -183,9 +184,9 @@ def ewm_halflife(spark, sf_dir):
     return smoothed(spark, sf_dir).select(iso("d"), r4("smoothed").alias("smoothed"))
 
 
-@query(f"with {EWM} select d::varchar as d, round(coalesce(x, smoothed), 4) as imputed from ewm")
+@query(f"with {EWM} select d::varchar as d, coalesce(x, round(smoothed, 4)) as imputed from ewm")
 def ewm_impute(spark, sf_dir):
-    return timeseries.impute(smoothed(spark, sf_dir), "x", "smoothed", "imputed").select(iso("d"), r4("imputed").alias("imputed"))
+    return timeseries.impute(smoothed(spark, sf_dir).withColumn("smoothed", r4("smoothed")), "x", "smoothed", "imputed").select(iso("d"), "imputed")
 
 
 def _slope(first, last, per):
@@ -230,7 +231,7 @@ b as (select *, 1200 + smoothed / 1000 as baseline from z), s as (select d, regr
 o as (select d, case when n >= 14 then rate end * 500 as net_observed from s)"""
 
 
-@query(f"with {EWM}{_BALANCE} select d::varchar as d, round(food, 4) as food, round(exercise, 4) as exercise, round(baseline, 4) as baseline, round(food - baseline - exercise, 4) as net_recorded, round(net_observed, 3) as net_observed, round(food / nullif(baseline + exercise + net_observed, 0), 3) as accuracy from b join o using (d)")
+@query(f"with {EWM}{_BALANCE} select d::varchar as d, food, round(exercise, 6) as exercise, round(baseline, 4) as baseline, round(food - baseline - exercise, 4) as net_recorded, round(net_observed, 3) as net_observed, round(food / nullif(baseline + exercise + net_observed, 0), 3) as accuracy from b join o using (d)")
 def net_balance_accuracy(spark, sf_dir):
     return flagship(spark, sf_dir)
 
@@ -242,7 +243,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = s.join(ex, "d", "left").fillna({"exercise": 0.0}).withColumn("food", F.col("x") / 100).withColumn("baseline", 1200 + F.col("smoothed") / 1000).withColumn("weight", F.col("smoothed") / 1000)
     z = timeseries.rolling_slope(z, ["k"], "d", "weight", "rate", 28, 14, 7.0, center=False).withColumn("net_observed", F.col("rate") * units.KCAL_DAY_PER_LB_WEEK)
     acc = F.try_divide(F.col("food"), F.col("baseline") + F.col("exercise") + F.col("net_observed"))
-    return z.select(iso("d"), r4("food").alias("food"), r4("exercise").alias("exercise"), r4("baseline").alias("baseline"), r4(F.col("food") - F.col("baseline") - F.col("exercise")).alias("net_recorded"), r4("net_observed", 3).alias("net_observed"), r4(acc, 3).alias("accuracy"))
+    return z.select(iso("d"), "food", r4("exercise", 6).alias("exercise"), r4("baseline").alias("baseline"), r4(F.col("food") - F.col("baseline") - F.col("exercise")).alias("net_recorded"), r4("net_observed", 3).alias("net_observed"), r4(acc, 3).alias("accuracy"))
 
 
 # Activity records.
@@ -336,9 +337,9 @@ def power_curve_pivot(spark, sf_dir):
     return p.select("activity_id", *[r4(F.col(f"`{w}`")).alias(f"w{w}") for w in WINDOWS])
 
 
-@query(f"with {CURVE}, b as (select activity_id, arg_max(watts, window_s) filter (where window_s <= 30) as y0, max(window_s) filter (where window_s <= 30) as x0, arg_min(watts, window_s) filter (where window_s >= 30) as y1, min(window_s) filter (where window_s >= 30) as x1 from curve group by 1) select activity_id, round(0.95 * case when y1 is null then y0 else y0 + (y1 - y0) * (30.0 - x0) / (x1 - x0) end, 6) as ftp from b")
+@query(f"with {CURVE}, b as (select activity_id, arg_max(watts, window_s) filter (where window_s <= 30) as y0, max(window_s) filter (where window_s <= 30) as x0, arg_min(watts, window_s) filter (where window_s >= 30) as y1, min(window_s) filter (where window_s >= 30) as x1 from curve group by 1) select activity_id, round(0.95 * case when y1 is null then y0 else y0 + (y1 - y0) * (30.0 - x0) / (x1 - x0) end, 8) as ftp from b")
 def ftp_interp(spark, sf_dir):
-    return activity.estimated_ftp(_curves(spark, sf_dir), KEY, 30.0).select("activity_id", r4("ftp", 6).alias("ftp"))
+    return activity.estimated_ftp(_curves(spark, sf_dir), KEY, 30.0).select("activity_id", r4("ftp", 8).alias("ftp"))
 
 
 # Geography and clusters.
