@@ -43,7 +43,7 @@ def least_recent(df: DataFrame, at: str, keep: int, *ties: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(Window.orderBy(F.desc(at), *ties))).where(F.col("__k") > keep).drop("__k")
 
 
-def fingerprint(df: DataFrame, cols: list[str], config: str = "") -> Column:
+def fingerprint(df: DataFrame | None, cols: list, config: str = "") -> Column:
     """An aggregate: md5 of the distinct non-null keys in order, and the configuration."""
     return F.md5(F.concat_ws("\n", F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", *cols))), "\n"), F.lit(config)).cast("binary"))
 
