@@ -5,7 +5,8 @@ every document ``floor(target / source size)`` times; what remains of the
 budget is fitted, for each source, over the counts alone: a proportional share
 of every length, then longest lengths first while much is left, then bounded
 knapsack dynamic programming (a bit set of the reachable sums) over the last
-few thousand words.  The documents of a length are then taken in the order of
+few thousand words, and over second and third copies where single documents
+cannot fill the budget.  The documents of a length are then taken in the order of
 a seeded hash: a threshold hash for each source and length, found in two
 levels, so that neither a hot source nor a hot length meets in one task.
 
@@ -76,36 +77,43 @@ def reachable(items: list[tuple[int, int]], budget: int) -> dict[int, int]:
     return taken
 
 
-def fit(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """How many documents of each length to take, for a sum near ``budget``; (length, count) with length > 0."""
+def fit(counts: list[tuple[int, int]], budget: int, most: int = 1) -> dict[int, int]:
+    """How many times to take documents of each length, for a sum near ``budget``; (length, count) with length > 0.
+
+    Each document once at first; only what single documents cannot fill is
+    filled by taking some up to ``most`` times.
+    """
     counts = sorted(counts, reverse=True)
     whole = sum(n * c for n, c in counts)
     if budget <= 0 or not whole:
         return {}
-    budget = min(budget, whole)
-    taken = {n: c * budget // whole for n, c in counts}
-    left = budget - sum(n * k for n, k in taken.items())
-    for n, c in counts:
-        if left <= DP_WORDS:
-            break
-        more = min(c - taken[n], (left - DP_WORDS) // n + (n <= DP_WORDS))
-        more = max(0, min(more, left // n))
-        taken[n] += more
-        left -= more * n
-    for n, k in reachable([(n, c - taken[n]) for n, c in counts if n <= left and c > taken[n]], left).items():
-        taken[n] += k
-        left -= k * n
-    # One document more may come nearer than staying below the budget.
-    over = [n for n, c in counts if c > taken[n] and n < 2 * left]
+    left = min(budget, most * whole)
+    share = min(left, whole)
+    taken = {n: c * share // whole for n, c in counts}
+    left -= sum(n * k for n, k in taken.items())
+    for times in sorted({1, most}):
+        for n, c in counts:
+            if left <= DP_WORDS:
+                break
+            more = max(0, min(times * c - taken[n], (left - DP_WORDS) // n + (n <= DP_WORDS), left // n))
+            taken[n] += more
+            left -= more * n
+        if left <= 2 * DP_WORDS:
+            for n, k in reachable([(n, times * c - taken[n]) for n, c in counts if n <= left and times * c > taken[n]], left).items():
+                taken[n] += k
+                left -= k * n
+    # One more may come nearer than staying below the budget.
+    over = [n for n, c in counts if most * c > taken[n] and n < 2 * left]
     if over:
         taken[min(over, key=lambda n: abs(left - n))] += 1
     return taken
 
 
 def _fit_source(counts: pd.DataFrame) -> pd.DataFrame:
-    budget = int(counts["budget"].iloc[0])
-    taken = fit([(int(n), int(c)) for n, c in zip(counts["size"], counts["n"], strict=True) if n > 0], budget)
-    return counts.assign(extra=[taken.get(int(n), 0) for n in counts["size"]])[["source", "size", "n", "extra"]]
+    budget, most = int(counts["budget"].iloc[0]), int(counts["most"].iloc[0])
+    taken = fit([(int(n), int(c)) for n, c in zip(counts["size"], counts["n"], strict=True) if n > 0], budget, most)
+    extra = pd.Series([taken.get(int(n), 0) for n in counts["size"]], index=counts.index)
+    return counts.assign(times=extra // counts["n"], extra=extra % counts["n"])[["source", "size", "times", "extra"]]
 
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -121,28 +129,33 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     for (source, n), goal in zip(sums, goals, strict=True):
         copies = min(MOST_COPIES, int(goal // n)) if n else 0
         rows.append((source, n, goal, copies, round(goal - copies * n) if copies < MOST_COPIES else 0))
-    targets = spark.createDataFrame(rows, "source string, source_size long, target double, copies int, budget long").coalesce(1)
+    targets = spark.createDataFrame(rows, "source string, source_size long, target double, copies int, budget long").coalesce(1).withColumn("most", F.greatest(F.lit(1), MOST_COPIES - F.col("copies")))
     fitted = (
-        hist.join(F.broadcast(targets), hist.source.eqNullSafe(targets.source)).select(hist.source, "size", "n", "budget")
-        .groupBy("source").applyInPandas(_fit_source, "source string, size long, n long, extra long")
+        hist.join(F.broadcast(targets), hist.source.eqNullSafe(targets.source)).select(hist.source, "size", "n", "budget", "most")
+        .groupBy("source").applyInPandas(_fit_source, "source string, size long, times long, extra long")
     )
-    fitted = shared_table(fitted.where("extra > 0"), "mix-fitted")
+    fitted = shared_table(fitted.where("times > 0 or extra > 0"), "mix-fitted")
     return targets, fitted
 
 
 def thresholds(slim: DataFrame, fitted: DataFrame, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
-    """(t_source, t_size, h_top, id_top, ties): of a source and length, rows below (h_top, id_top) are taken once more, and so many of those equal to it."""
+    """(t_source, t_size, times, h_top, id_top, ties, all_ties), a row for each fitted source and length.
+
+    All its rows are taken ``times`` times more, those below (h_top, id_top)
+    once more, and of those equal to it so many as ties says.
+    """
     same = lambda a, b, *more: reduce(lambda x, c: x & (a[c] == b[c]), more, a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"]))
     cut = slim.withColumn("hb", F.floor((F.col("h") / 2.0**64 + 0.5) * sub_buckets).cast("int"))
     # Of a length taken whole the last hash is the threshold, too; all lengths go one way.
     cells = cut.groupBy("source", "size", "hb").agg(F.count(F.lit(1)).alias("c"))
-    cells = cells.join(fitted, same(cells, fitted)).select(cells.source, cells.size, "hb", "c", "extra")
+    cells = cells.join(part := fitted.where("extra > 0"), same(cells, part)).select(cells.source, cells.size, "hb", "c", "extra")
     upto = F.sum("c").over(Window.partitionBy("source", "size").orderBy("hb"))
     edge = shared_table(cells.withColumn("upto", upto).where("upto >= extra and upto - c < extra").select("source", "size", "hb", (F.col("extra") - F.col("upto") + F.col("c")).alias("need")), "mix-edges")
     near = cut.join(edge, same(cut, edge, "hb")).select(cut.source, cut.size, cut.hb, "h", "id", "need")
     near = near.groupBy("source", "size", "hb", "h", "id", "need").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy("source", "size", "hb").orderBy("h", F.col("id").asc_nulls_last()))
-    return near.withColumn("upto", upto).where("upto >= need and upto - c < need").select(F.col("source").alias("t_source"), F.col("size").alias("t_size"), F.col("h").alias("h_top"), F.col("id").alias("id_top"), (F.col("need") - F.col("upto") + F.col("c")).alias("ties"), (F.col("c") == F.col("need") - F.col("upto") + F.col("c")).alias("all_ties"))
+    tops = near.withColumn("upto", upto).where("upto >= need and upto - c < need").select("source", "size", F.col("h").alias("h_top"), F.col("id").alias("id_top"), (F.col("need") - F.col("upto") + F.col("c")).alias("ties"), (F.col("c") == F.col("need") - F.col("upto") + F.col("c")).alias("all_ties"))
+    return fitted.join(tops, same(fitted, tops), "left").select(fitted.source.alias("t_source"), fitted.size.alias("t_size"), "times", "h_top", "id_top", "ties", "all_ties")
 
 
 def _decide(rows: DataFrame, targets: DataFrame, tops: DataFrame, tie_order: Column) -> DataFrame:
@@ -159,7 +172,7 @@ def _decide(rows: DataFrame, targets: DataFrame, tops: DataFrame, tie_order: Col
     free = out.where("not __tied")
     rank = F.row_number().over(Window.partitionBy("__source", "__size", "__h", "__id").orderBy(tie_order))
     held = out.where("__tied").withColumn("__more", (rank <= F.col("ties")).cast("int"))
-    return free.unionByName(held).withColumn("__copies", F.coalesce(F.col("__base"), F.lit(0)) + F.col("__more")).drop("h_top", "id_top", "ties", "all_ties", "__tied", "__more", "__base")
+    return free.unionByName(held).withColumn("__copies", F.coalesce(F.col("__base"), F.lit(0)) + F.coalesce(F.col("times"), F.lit(0)) + F.col("__more")).drop("times", "h_top", "id_top", "ties", "all_ties", "__tied", "__more", "__base")
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, size: Column | None = None) -> DataFrame:
