@@ -121,7 +121,7 @@ def _with_metrics(spark: SparkSession, path: str, home_zone: HomeZone, cache_dir
         metrics = store.write("activities", new if have is None else have.unionByName(new), key) if have is None or cold.limit(1).count() else have
     else:
         metrics = stored(file_metrics(rows, config), "metrics")
-    both = summary.join(metrics, summary["Filename"] == metrics["filename"], "left").drop("filename")
+    both = summary.join(metrics.withColumnRenamed("filename", "__file"), F.col("Filename") == F.col("__file"), "left").drop("__file")
     trainer = (F.col("Activity Type") == "Virtual Ride") | (~F.coalesce("has_location", F.lit(False)) & F.col("Filename").isNotNull())
     both = both.withColumn("trainer", trainer)
     zone = F.when(F.col("trainer") | F.col("timezone").isNull(), _home(home_zone, F.col("date"))).otherwise(F.col("timezone"))
@@ -183,7 +183,7 @@ def load_power_curves(spark: SparkSession, path: str, home_zone: HomeZone, cache
     """(row_id, local_date, window_s, watts) of the rides with power; the long form of the curves."""
     rides, rows, _ = _with_metrics(spark, path, home_zone, cache_dir, config)
     curves = power_curves_of(rows, config)
-    return rides.select("row_id", F.col("local").alias("local_date"), "Filename").join(curves, F.col("Filename") == curves["filename"]).select("row_id", "local_date", "window_s", "watts").orderBy("local_date", "row_id", "window_s")
+    return rides.select("row_id", F.col("local").alias("local_date"), F.col("Filename").alias("filename")).join(curves, "filename").select("row_id", "local_date", "window_s", "watts").orderBy("local_date", "row_id", "window_s")
 
 
 # Commutes.
