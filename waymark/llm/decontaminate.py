@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.words import WORD, chunks, tokens
+from waymark.llm.words import WORD, slices, tokens
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6
@@ -238,11 +238,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def searcher(found: list[Index]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                for a, b in chunks(texts):
-                    rows = [(a + k, ix.items[i][0], *v) for ix in found for k, x in enumerate(ix.search(texts[a:b])) for i, v in x.items()]
+                for part, texts in slices(batch):
+                    rows = [(k, ix.items[i][0], *v) for ix in found for k, x in enumerate(ix.search(texts)) for i, v in x.items()]
                     cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], names)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), *(pa.array(c, pa.float64()) for c in cols[2:])], names)
 
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"]
         return run
@@ -264,12 +263,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     def filterer(found: list[Index]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                for a, b in chunks(texts):
-                    held = [False] * (b - a)
+                for part, texts in slices(batch, text_col):
+                    held = [False] * len(texts)
                     for ix in found:
-                        held = [h or bool(x) for h, x in zip(held, ix.search(texts[a:b]), strict=True)]
-                    yield batch[a:b].filter(pa.array([not h for h in held]))
+                        held = [h or bool(x) for h, x in zip(held, ix.search(texts), strict=True)]
+                    yield part.filter(pa.array([not h for h in held]))
 
         return run
 

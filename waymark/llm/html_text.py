@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.words import chunks
+from waymark.llm.words import slices
 
 _MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>"']|["'])*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -341,9 +341,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("html").to_pylist()
-            for a, b in chunks(found):
-                yield pa.RecordBatch.from_arrays([batch.column("page_id")[a:b], pa.array([page_text(p) for p in found[a:b]], pa.string())], ["page_id", "text"])
+            for part, pages in slices(batch, "html"):
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([page_text(p) for p in pages], pa.string())], ["page_id", "text"])
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, text string")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import held_out
 from waymark.llm.sampling import bounded
-from waymark.llm.words import chunks
+from waymark.llm.words import slices
 
 ORDERS = (1, 2, 3)
 PROFILE = 400
@@ -142,10 +142,9 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                found = [profiles.predict(t) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for part, texts in slices(batch):
+                found = [profiles.predict(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import exact_dedup
 from waymark.llm.common import row_hash, shared_table
-from waymark.llm.words import Hashes, U, chunks, hashed, mix
+from waymark.llm.words import Hashes, U, hashed, mix, slices
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -99,18 +99,17 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            words = [hashed(t, cache) for t in texts[a:b]]
+        for part, texts in slices(batch):
+            words = [hashed(t, cache) for t in texts]
             keys = [None if not len(w) else _key(w) for w in words]
             sets = [regions(w) for w in words]
             some = [k for k, s in enumerate(sets) if len(s)]
-            bands: list = [None] * (b - a)
+            bands: list = [None] * len(texts)
             if some:
                 for k, row in zip(some, band_keys(signatures([sets[k] for k in some])), strict=True):
                     bands[k] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[a:b], batch.column("th")[a:b], pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                [part.column("doc_id"), part.column("th"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "th", "key", "weight", "bands"],
             )
 
@@ -124,9 +123,8 @@ def _key(words: np.ndarray) -> bytes:
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = Hashes()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in chunks(texts):
-            words = [hashed(t, cache) for t in texts[a:b]]
+        for part, texts in slices(batch):
+            words = [hashed(t, cache) for t in texts]
             keys = [None if not len(w) else _key(w) for w in words]
             sets = [(regions(w) >> U(32)).astype(np.uint32).view(np.int32) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import crc_mod, held_out
 from waymark.llm.sampling import bounded
-from waymark.llm.words import chunks
+from waymark.llm.words import slices
 
 MOST_POSITIVE = 4000
 MOST_UNLABELLED = 6000
@@ -181,7 +181,8 @@ class Model:
 
 def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["part", "x"])
+        for part, texts in slices(batch):
+            yield pa.RecordBatch.from_arrays([part.column("part"), pa.array([features(t) for t in texts], pa.list_(pa.float64()))], ["part", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
@@ -206,9 +207,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(model.scores(texts[a:b]), pa.float64())], ["doc_id", "score"])
+            for part, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(texts), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -230,8 +230,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for a, b in chunks(texts):
-                yield batch[a:b].filter(pa.array(model.scores(texts[a:b]) >= threshold))
+            for part, texts in slices(batch):
+                yield part.filter(pa.array(model.scores(texts) >= threshold))
 
     return docs.mapInArrow(run, schema)

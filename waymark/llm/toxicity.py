@@ -22,12 +22,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import crc_mod, held_out, shared_table
 from waymark.llm.sampling import bounded
-from waymark.llm.words import Hashes, U, chunks, hashed, mix
+from waymark.llm.words import Hashes, U, hashed, mix, slices
 
 BUCKETS = 1 << 20
 MOST_TOXIC = 3000
@@ -103,8 +104,9 @@ class Model:
 def _task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, cache = [], Hashes()
     for batch in batches:
-        for i, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-            rows.append((i, text or "", buckets(hashed(text, cache)).astype(np.int32), label))
+        for part, texts in slices(batch):
+            for i, text, label in zip(part.column("doc_id").to_pylist(), texts, part.column("toxic").to_pylist(), strict=True):
+                rows.append((i, xxhash.xxh3_64_intdigest(text or ""), buckets(hashed(text, cache)).astype(np.int32), label))
     rows.sort(key=lambda r: r[:2])
     at, w = train([(r[2].astype(np.int64), r[3]) for r in rows]) if {r[3] for r in rows} == {0, 1} else (np.zeros(0, np.int64), np.zeros(0))
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
@@ -126,9 +128,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(model.scores(texts[a:b]), pa.float64())], ["doc_id", "score"])
+            for part, texts in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(texts), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

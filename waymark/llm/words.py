@@ -6,11 +6,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORD = re.compile(r"\w+")
 #: Forgets the words seen beyond so many, so that a worker's memory stays bounded.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 U = np.uint64
 
 
@@ -40,13 +42,17 @@ def hashed(text: str | None, cache: Hashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, found), U, len(found))
 
 
-def chunks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters; a longer text is alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch with about ``most`` bytes of text, and their texts; a longer text is alone.
+
+    Only one part's texts are Python strings at a time.
+    """
+    at = batch.schema.get_field_index(column)
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     start, n = 0, 0
-    for k, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most:
-            yield start, k + 1
+    for k, size in enumerate(sizes):
+        n += size
+        if n >= most or k + 1 == len(sizes):
+            part = batch.slice(start, k + 1 - start)
+            yield part, part.column(at).to_pylist()
             start, n = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
