@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from waymark.llm import decontaminate, exact_dedup, html_text, language, licenses, mixing, near_dedup, secrets
-from waymark.llm.words import chunks, tokens
+from waymark.llm.words import slices, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, size string, rid string, `__row` string, `key` string"
 
@@ -300,6 +300,11 @@ def test_decontaminate(spark):
     assert decontaminate.hits(df.limit(0), bench).count() == 0 and decontaminate.hits(df, bench.limit(0)).count() == 0
 
 
-def test_chunks_cover():
+def test_slices_cover():
+    import pyarrow as pa
+
     texts = ["a" * 10, None, "b" * 30, "", "c"]
-    assert [x for a, b in chunks(texts, 15) for x in range(a, b)] == list(range(5))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(5))], ["text", "k"])
+    parts = list(slices(batch, most=15))
+    assert [t for _, x in parts for t in x] == texts and [k for p, _ in parts for k in p.column("k").to_pylist()] == list(range(5)) and len(parts) == 2
+    assert list(slices(batch[:0])) == []
