@@ -277,6 +277,38 @@ def test_wand_brute_force():
             assert {i for i, _ in ix.wand(terms, threshold)} == set(np.flatnonzero(score >= threshold - 1e-6).tolist())
 
 
+def test_retrieval_misses_nothing_that_verifies():
+    rng = np.random.default_rng(9)
+    common = prose(50, 12).split()
+    items, texts = [], []
+    for k in range(60):
+        # Much of an item's weight lies in the rare words at its ends.
+        size, rare = int(rng.integers(1, 40)), prose(200 + k, 8).split()
+        body = rng.choice(common, size).tolist()
+        body = rare[:4] + body + rare[4:]
+        items.append((k, " ".join(body) + (f"\n{' '.join(rng.choice(common, int(rng.integers(1, 12))))}" if k % 2 else "")))
+    items += [(100, "same " * 30), (101, "one"), (102, "one two three four"), (103, " ".join(["same", "other"] * 15))]
+    for _, text in items:
+        words = text.split()
+        for cut in (0, 2, 4, 6):
+            texts.append(prose(int(rng.integers(1000)), int(rng.integers(0, 60))) + " " + " ".join(words[cut:]) + " " + " ".join(rng.choice(common, 5)))
+            texts.append(" ".join(words[: len(words) - cut]))
+    texts += ["", None]
+    ix = decontaminate.Index(items)
+    got = ix.search(texts)
+    found = 0
+    for text, own in zip(texts, got):
+        words, half, want = tokens(text), ix.longest, set()
+        for start in range(0, len(words), half):
+            window = words[start : start + 2 * half]
+            for k, (_, q, a) in enumerate(ix.items):
+                if set(window) & set(q + a) and (decontaminate.overlap(q + a, window) >= 0.8 or (q and a and min(decontaminate.overlap(q, window), decontaminate.overlap(a, window)) >= 0.8)):
+                    want.add(k)
+        assert set(own) == want
+        found += len(want)
+    assert found > 200 and min(ix.needs) < 0.6
+
+
 def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, "What is " + prose(1, 30) + "?\nIt is " + prose(2, 10)), (2, prose(3, 15)), (3, None), (4, prose(6, 300)), (None, prose(7, 20))], "item_id long, text string")
     item = {r.item_id: r.text for r in bench.collect()}

@@ -1,13 +1,15 @@
 """Benchmark decontamination by a BM25 index with block-max WAND.
 
 Test items are indexed by their words.  A posting's impact is its BM25 weight
-as a share of the item's own total, so an item's score is the share of its
-weight that a passage holds, whatever the item's length.  Passages are
+as a share of what the item needs: the least weight that a passage can hold
+and still pass verification, given how many words its missing shingles can
+hide.  So an item is retrieved at a score of 1, whatever its length, and no
+passage that verification would accept is missed.  Passages are
 overlapping windows, twice as long as the longest item of an index, so every
 copy of an item lies whole in one of them.  A window whose words' greatest
-impacts sum to less than the threshold in every range of items cannot hold an
-item and is left at once; the others run block-max WAND, which retrieves every item at or above
-the threshold.  A retrieved item is then verified by five-word shingles: the
+impacts sum to less than that in every range of items cannot hold an item and
+is left at once; the others run block-max WAND, which retrieves every item at
+or above it.  A retrieved item is then verified by five-word shingles: the
 share of the question's and of the answer's shingles that the window holds.
 
 Items are grouped by length (64, 256, 1024, ... words), each group with its
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from waymark.llm.words import WORD, slices, tokens
 
 K1, B = 1.2, 0.75
-RETRIEVE = 0.6
+RETRIEVE = 1.0
 SIMILAR = 0.8
 SHINGLE = 5
 POSTINGS = 16
@@ -67,6 +69,23 @@ def overlap(part: list[str], window: list[str]) -> float:
     return sum((want & have).values()) / sum(want.values())
 
 
+def hidden(words: list[str]) -> int:
+    """How many words of a part a window may lack at most while it holds ``SIMILAR`` of the shingles: each that is missing breaks a shingle of its own."""
+    shingles = max(1, len(words) - SHINGLE + 1)
+    return int((1 - SIMILAR) * shingles + 1e-9)
+
+
+def least_share(score: dict[str, float], counts: Counter, missing: int) -> float:
+    """The least share of the weight that is left when ``missing`` words, all occurrences of each, are taken away (a bound: the last in part)."""
+    lost, left = 0.0, missing
+    for w in sorted(score, key=lambda w: score[w] / counts[w], reverse=True):
+        if left <= 0:
+            break
+        lost += score[w] * min(1.0, left / counts[w])
+        left -= counts[w]
+    return 1 - lost / sum(score.values())
+
+
 class Postings:
     """One term: items in order, impacts, the greatest impact of each block and of all."""
 
@@ -94,9 +113,12 @@ class Index:
         mean, n = sum(lengths) / max(1, len(lengths)), len(counts)
         idf = {w: np.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
         lists: dict[str, tuple[list, list]] = {}
+        self.needs = []
         for k, (c, size) in enumerate(zip(counts, lengths, strict=True)):
+            _, q, a = self.items[k]
             score = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
-            whole = sum(score.values())
+            self.needs.append(least_share(score, c, max(hidden(q + a), hidden(q) + hidden(a) if q and a else 0)))
+            whole = sum(score.values()) * self.needs[k]
             for w, s in score.items():
                 at = lists.setdefault(w, ([], []))
                 at[0].append(k)
@@ -200,7 +222,7 @@ class Index:
                 own = words[text[k]][window.start - base : window.stop - base]
                 for item, score in hits:
                     _, q, a = self.items[item]
-                    row = (score, overlap(q, own), overlap(a, own), overlap(q + a, own))
+                    row = (score * self.needs[item], overlap(q, own), overlap(a, own), overlap(q + a, own))
                     if row[3] >= SIMILAR or (q and a and min(row[1:3]) >= SIMILAR):
                         out[text[k]][item] = max(row, out[text[k]].get(item, row), key=lambda r: r[3])
         return out
