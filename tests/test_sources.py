@@ -1,5 +1,6 @@
 import gzip
 from datetime import date, datetime, timedelta
+from functools import partial
 
 import builders as B
 import pytest
@@ -70,7 +71,12 @@ def test_activities(spark, export, tmp_path):
     assert [r.week for r in week] == [date(2026, 1, 11)] and week[0].distance == pytest.approx(70 / 1.609344)
     again, _ = api.load_strava_activities(spark, export, "America/New_York", str(tmp_path / "cache"))
     assert again.collect() == acts.collect()
-    curves = api.load_power_curves(spark, export, "UTC").where("row_id = 0 and window_s <= 10").collect()
+    long = api.load_power_curves(spark, export, "UTC")
+    wide = api.wide_power_curves(long)
+    rides = {r.row_id: r for r in wide.collect()}
+    assert set(rides) == {r.row_id for r in long.collect()} and wide.columns[:3] == ["row_id", "local_date", "1s"] and wide.columns[-1] == "43200s"
+    assert rides[0]["1s"] == 200.0 and rides[0]["43200s"] is None
+    curves = long.where("row_id = 0 and window_s <= 10").collect()
     assert curves[0].watts == 200.0 and curves[-1].watts == pytest.approx(20.0)
 
 
@@ -82,6 +88,27 @@ def test_commutes(spark, export):
     assert [r.n_commutes for r in spans.collect()] == [2]
 
 
+def test_commute_metrics_are_cached(spark, export, tmp_path, monkeypatch):
+    cache, bare = str(tmp_path / "cache"), partial(api.CommuteConfig, clustering=None)
+    load = lambda config, folder=cache: sorted(map(repr, api.load_commute_activities(spark, export, "America/New_York", folder, config)[0].collect()))
+    first = load(bare())
+    assert first == load(bare(), None)
+    measured, real = [], api.commute_metrics
+    monkeypatch.setattr(api, "commute_metrics", lambda rows, config: measured.append(1) or real(rows, config))
+    assert load(bare()) == first and not measured
+    api.invalidate_commutes_cache(spark, cache, [])
+    load(bare(span_penalty=5.0))
+    assert not measured
+    api.invalidate_commutes_cache(spark, cache, ["activities/two.gpx"])
+    assert load(bare()) == first and len(measured) == 1
+    load(bare(stopped_kmh=2.0))
+    assert len(measured) == 2
+    api.invalidate_commutes_cache(spark, cache)
+    assert load(bare()) == first and len(measured) == 3
+    # The clusters of commutes whose metrics come from the cache.
+    assert load(api.CommuteConfig()) == load(api.CommuteConfig(), None) and len(measured) == 4
+
+
 def test_records_cache_decodes_cold_files_only(spark, export, tmp_path):
     import shutil
 

@@ -61,7 +61,8 @@ def _home(home_zone: HomeZone, utc: Column) -> Column:
 
 
 def _config_key(config: object) -> str:
-    return repr({k: v for k, v in asdict(config).items() if k not in ("clustering", "geocoding")})
+    """What the metrics of single files depend on."""
+    return repr({k: v for k, v in asdict(config).items() if k not in ("clustering", "geocoding", "week_end", "span_penalty", "span_min_size")})
 
 
 # Records.
@@ -186,6 +187,13 @@ def load_power_curves(spark: SparkSession, path: str, home_zone: HomeZone, cache
     return rides.select("row_id", F.col("local").alias("local_date"), F.col("Filename").alias("filename")).join(curves, "filename").select("row_id", "local_date", "window_s", "watts").orderBy("local_date", "row_id", "window_s")
 
 
+def wide_power_curves(curves: DataFrame, config: ActivitiesConfig = ActivitiesConfig()) -> DataFrame:
+    """(row_id, local_date, 1s, 2s, ...) from the long form: a column for each window, null where a ride is shorter."""
+    windows = units.power_windows(config.power_curve_max_s, config.power_curve_density)
+    wide = curves.groupBy("row_id", "local_date").pivot("window_s", windows).agg(F.first("watts"))
+    return wide.select("row_id", "local_date", *[F.col(str(w)).alias(f"{w}s") for w in windows]).orderBy("local_date", "row_id")
+
+
 # Commutes.
 
 
@@ -210,13 +218,27 @@ def commute_metrics(segmented: DataFrame, config: CommuteConfig = CommuteConfig(
     return out.select("filename", F.when(F.col("seg") >= 0, F.col("seg")).alias("segment"), "date", X.direction(F.col("date"), config.morning_cutoff_hour).alias("direction"), "distance", "elapsed_s", "moving_s")
 
 
+def _splits_cached(spark: SparkSession, cache_dir: str | None, rows: DataFrame, config: CommuteConfig) -> tuple[DataFrame, DataFrame]:
+    """(records with ``segment``, metrics of all commutes); with a cache only files that it lacks are measured."""
+    store, key = Store(spark, cache_dir) if cache_dir else None, _config_key(config)
+    have = store.read("commutes") if store and store.fingerprint("commutes") == key else None
+    if have is None:
+        segmented = stored(split_commutes(rows, config), "segments")
+        metrics = commute_metrics(segmented, config)
+        return segmented, store.write("commutes", metrics, key) if store else metrics
+    cold = rows.join(have.select("filename").distinct(), "filename", "left_anti")
+    if cold.limit(1).count():
+        have = store.write("commutes", have.unionByName(commute_metrics(stored(split_commutes(cold, config), "segments"), config)), key)
+    # Evaluated only where the clusters are not cached.
+    return split_commutes(rows, config), have
+
+
 def load_commute_activities(spark: SparkSession, path: str, home_zone: HomeZone, cache_dir: str | None = None, config: CommuteConfig = CommuteConfig()) -> tuple[DataFrame, DataFrame | None]:
     """(commutes by local start, spans between moves of home or work)."""
     summary = tables.activities(spark, path).where(F.coalesce("Commute", F.lit(False)))
     filed = relational.keep_first(summary.where("Filename is not null"), ["Filename"], ["row_id"])
     rows = load_activity_records(spark, filed.select(F.col("Filename").alias("filename")), path, cache_dir)
-    segmented = stored(split_commutes(rows, config), "segments")
-    metrics = commute_metrics(segmented, config)
+    segmented, metrics = _splits_cached(spark, cache_dir, rows, config)
     about = filed.select(F.col("Filename").alias("filename"), "row_id", F.col("Activity Name").alias("description"))
     of_files = metrics.join(about, "filename").select("row_id", "description", "direction", "date", (F.col("distance") / units.KM_PER_MILE).alias("distance"), "elapsed_s", "moving_s", "filename", "segment")
     bare = summary.where("Filename is null").withColumn("at", X.local_time(F.col("date"), _home(home_zone, F.col("date"))))
@@ -376,5 +398,5 @@ __all__ = [
     "ActivitiesConfig", "CommuteConfig", "DiaryTuning", "GeocodeConfig", "RouteConfig", "cluster_routes", "eer_female", "eer_male", "geocode_positions",
     "invalidate_activities_cache", "invalidate_commutes_cache", "invalidate_geocode_cache", "invalidate_mnd_cache", "invalidate_piecewise_fit_cache", "invalidate_records_cache",
     "load_activity_coords", "load_activity_records", "load_commute_activities", "load_mnd_data", "load_power_curves", "load_strava_activities",
-    "piecewise_fit_auto", "piecewise_fit_cached", "piecewise_fit_fixed", "piecewise_fit_with_breaks", "seed_geocode_cache",
+    "piecewise_fit_auto", "piecewise_fit_cached", "piecewise_fit_fixed", "piecewise_fit_with_breaks", "seed_geocode_cache", "wide_power_curves",
 ]
