@@ -47,6 +47,13 @@ def test_query(spark, duck, name):
             assert u == v or isinstance(u, float) and isinstance(v, float) and u == pytest.approx(v, rel=1e-9, abs=1.1e-4)
 
 
+def test_piecewise_bic_is_whole(spark):
+    """Every activity has its joined lines, and more than three of them where the criterion asks for them."""
+    points = {r.activity_id: r["count"] for r in catalog.piecewise_bic(spark, SF).groupBy("activity_id").count().collect()}
+    assert set(points) == {r.activity_id for r in catalog.rec(spark, SF).select("activity_id").distinct().collect()}
+    assert max(points.values()) > 4 and all(2 <= n <= 7 for n in points.values())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

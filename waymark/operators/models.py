@@ -178,7 +178,9 @@ def piecewise(df: DataFrame, keys: list[str], at: str, value: str, unit: str = "
 
     rows = df.select(*keys, F.col(at).cast("double").alias("x"), F.col(value).cast("double").alias("y")).dropna(subset=["x", "y"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    out = rows.groupBy(*keys).applyInPandas(fit, f"{kinds}, at double, value double, rate double")
+    # The rows are few for the work in them; a given number of partitions keeps adaptive execution from putting all series into one task.
+    spread = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else rows
+    out = spread.groupBy(*keys).applyInPandas(fit, f"{kinds}, at double, value double, rate double")
     return out.withColumn("rate", F.nanvl("rate", F.lit(None)))
 
 

@@ -542,5 +542,4 @@ def piecewise_given_breaks(spark, sf_dir):
 
 @query()
 def piecewise_bic(spark, sf_dir):
-    few = rec(spark, sf_dir).where("activity_id % 50 = 1")
-    return models.piecewise(few, KEY, "t", "distance", "D", max_segments=3, search=models.Search(population=15, rounds=30))
+    return models.piecewise(rec(spark, sf_dir), KEY, "t", "distance", "D")
