@@ -57,6 +57,19 @@ def test_ewm_carries_nulls_and_matches_definition(spark):
             assert m == pytest.approx(sum(a * v for a, (_, v) in zip(w, seen)) / sum(w), rel=1e-12)
 
 
+def test_ewm_carries_the_mean_over_a_long_gap(spark):
+    """12.45 is what the reference's pandas ewm with times has at day 259 as at day 4."""
+    values = {0: 10.0, 2: 14.0, 4: 13.0}
+    days = [0, 1, 2, 4, 100, 184, 185, 186, 259, 700]
+    df = spark.createDataFrame([(1, t, values.get(t)) for t in days] + [(1, 701, 20.0), (1, 702, None), (2, 259, None)], "k int, t int, x double")
+    got = {(r.k, r.t): r.m for r in T.ewm(df, ["k"], "t", "x", "m", 3.0, 2).collect()}
+    w = {t: 2 ** ((t - 4) / 3) for t in values}
+    mean = sum(w[t] * v for t, v in values.items()) / sum(w.values())
+    assert got[1, 1] is None and got[2, 259] is None
+    assert [got[1, t] for t in days[3:]] == pytest.approx([mean] * 7, rel=1e-12)
+    assert [got[1, 701], got[1, 702]] == pytest.approx([20.0] * 2, rel=1e-12)
+
+
 def test_rolling_slope(spark):
     got = lambda v, *a, **k: [r.s for r in T.rolling_slope(series(spark, v), ["k"], "t", "x", "s", *a, **k).orderBy("t").collect()]
     assert got([2.0 * k for k in range(10)], 5, 2) == pytest.approx([2.0] * 10)

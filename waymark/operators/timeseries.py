@@ -24,7 +24,9 @@ def ewm(df: DataFrame, keys: list[str], at: str, value: str, out: str, halflife:
 
     Null rows carry the mean on; null until ``min_periods`` values are seen.
     The frame ends where weights are below 2**-60, so sums never overflow
-    and a long series costs no more for each row than a short one.
+    and a long series costs no more for each row than a short one.  It is
+    taken at values only, where the newest weight is 1; the ratio stands until
+    the next value, after gaps longer than the frame too.
     """
     span = int(60 * halflife) + 1
     by = Window.partitionBy(*keys).orderBy(at)
@@ -37,7 +39,9 @@ def ewm(df: DataFrame, keys: list[str], at: str, value: str, out: str, halflife:
         return F.struct((a.s + w * p.x).alias("s"), (a.w + w).alias("w"))
 
     mean = F.aggregate("__near", zero, fold, lambda a: F.when(a.w > 0, a.s / a.w))
-    return df.withColumn("__near", near).withColumn("__seen", seen).withColumn(out, F.when(F.col("__seen") >= min_periods, mean)).drop("__near", "__seen")
+    held = F.last("__mean", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
+    rows = df.withColumn("__near", near).withColumn("__seen", seen).withColumn("__mean", F.when(F.col(value).isNotNull(), mean))
+    return rows.withColumn(out, F.when(F.col("__seen") >= min_periods, held)).drop("__near", "__seen", "__mean")
 
 
 def rolling_slope(df: DataFrame, keys: list[str], at: str, value: str, out: str, window: int, min_periods: int, per_step: float = 1.0, center: bool = True) -> DataFrame:
