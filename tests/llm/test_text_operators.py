@@ -205,6 +205,20 @@ def test_html():
     assert page('<p title="a>b">q</p><img alt="x"><input type=hidden value=no><input type=submit value=Go>') == "q\n\nGo"
 
 
+def test_html_svg_math_and_open_head():
+    page = html_text.page_text
+    assert page("a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> b") == "a x=2 b"
+    assert page("<svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>u</text></defs><text>A</text><text>B</text></svg>") == "A B"
+    assert page("<svg><title/><desc/><path d='M0'/><text>A</text></svg> b") == "A b"
+    assert page("<svg><foreignObject><p>f</p></foreignObject></svg><p>g") == "f\n\ng"
+    assert page("<map name='m'>go <a href='#'>there</a><area></map>") == "go there"
+    assert page("<desc>d</desc><metadata>m</metadata>") == "dm"
+    assert page("<head><title>t</title>Hello <b>x</b><p>y") == "Hello x\n\ny"
+    assert page("<html><head>\n<meta charset=u><style>s</style>\n<a>l</a><p>y") == "l\n\ny"
+    assert page("<head><title>t</title>tail") == "tail"
+    assert page("<head><noscript><img>n</noscript><template><div>d</div></template><title>t</title></head><body>b") == "b"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "u"), (1, "<p>a</p>", "u"), (None, None, None)], "page_id long, html string, text string")
     assert sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, "")]

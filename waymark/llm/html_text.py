@@ -1,7 +1,8 @@
 """Visible text of web pages, laid out as a reader sees it.
 
 A tree builder with the implied end tags of HTML makes a tree of each page; a
-renderer walks it without recursion, leaves what a browser hides, and writes
+renderer walks it without recursion, leaves what a browser hides (of svg and
+math: descriptions, definitions, annotations), and writes
 all other text: blocks on lines of their own, paragraphs, headings, lists and
 tables apart by an empty line, list items with their bullet or number and
 indented, preformatted text as it is, and table cells in aligned columns.
@@ -31,11 +32,16 @@ _HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|
 #: The element sets of the HTML standard that layout needs.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object video audio canvas datalist area map base link meta param rp svg math".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object video audio canvas datalist area base link meta param rp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 APART = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr listing menu dir ol p pre table ul xmp".split())
 PRE = frozenset("pre listing xmp textarea plaintext".split())
 ENDS_P = BLOCK - frozenset("body html li dd dt legend optgroup option summary tbody td tfoot th thead tr".split()) | {"li", "dd", "dt"}
+#: What may stand in a head; any other tag, and text, ends a head without an end tag.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Parts of svg and math that are not shown, and those in which HTML may stand.
+UNSEEN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Start tag: the open elements that it ends, and the elements that the search does not leave.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -100,27 +106,41 @@ def parse(page: str) -> Node:
         if found:
             pop_to(found)
 
+    def say(text: str) -> None:
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            pop_to(len(stack) - 1)
+        stack[-1].children.append(html.unescape(text))
+
     at, size, lower, last = 0, len(page), None, page.rfind(">")
     while at < size:
         m = _MARKUP.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            say(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            say(page[at : m.start()])
         at = m.end()
         if m[2]:
             tag = m[2].lower()
+            foreign = [t for t in UNSEEN if n_open.get(t)]
+            if foreign and tag in BLOCK and not any(n_open.get(t) for t in POINTS):
+                end(set(foreign), frozenset())
+                foreign = []
             if tag in ENDS_P and n_open.get("p"):
                 end({"p"}, SCOPE)
             if tag in IMPLIED:
                 end(*IMPLIED[tag])
-            elif n_open.get("head") and tag in BLOCK:
-                end({"head"}, frozenset())
+            if stack[-1].tag == "head" and tag not in HEAD:
+                pop_to(len(stack) - 1)
             if tag in ("td", "th") and n_open.get("table") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push(Node("tr", {}))
             node = Node(tag, attributes(m[3]) if m[3].strip(" /\n\t") else {})
-            if tag in VOID:
+            if foreign:
+                if any(tag in UNSEEN[t] for t in foreign):
+                    node.attrs["hidden"] = ""
+                if tag == "text":
+                    stack[-1].children.append(" ")
+            if tag in VOID or foreign and m[3].rstrip().endswith("/"):
                 stack[-1].children.append(node)
                 continue
             if tag == "plaintext":
