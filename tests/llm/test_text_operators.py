@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -52,6 +53,32 @@ def test_exact_distributed_filter(spark, monkeypatch):
     assert {r.group_size for r in exact_dedup.groups(docs(spark, MIXED)).where("doc_id = 2").collect()} == {3}
 
 
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[1][1]
     rows = [
@@ -65,6 +92,28 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_common_texts_and_headers(spark):
+    texts = Path(licenses.__file__).with_name("license_texts")
+    whole = {name: (texts / f"{name}.txt").read_text() for name in licenses.TEXTS}
+    whole["BSD-2-Clause"] = BSD
+    whole["BSD-3-Clause"] = "BSD 3-Clause License\n\n" + BSD.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE")
+    head = {
+        "Apache-2.0": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.',
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows = [(f"w {n}", t, "s") for n, t in whole.items()] + [(f"h {n}", f"import os\n\n{t}\n\ncode", "s") for n, t in head.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for n in whole:
+        assert got[f"w {n}"].whole_license == n and n in got[f"w {n}"].licenses.split(",")
+    for n in head:
+        assert (got[f"h {n}"].licenses, got[f"h {n}"].whole_license, got[f"h {n}"].n_notices) == (n, None, 1)
+    assert all(re.search(licenses.ANCHOR, t) for _, t in licenses.KNOWN)
+    assert len({d for _, d in licenses.known_digests()}) == len(licenses.known_digests())
+
+
 def brute_spans(text):
     out = []
     word = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,68 @@ KNOWN = [
     ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+#: Whole texts as they are published, in ``license_texts``; AGPL-3.0 is known by its header and identifiers only.
+TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense")
+GNU = [("GPL", "General", "2", "program"), ("GPL", "General", "3", "program"), ("LGPL", "Lesser General", "2.1", "library"), ("LGPL", "Lesser General", "2.1", "program"), ("LGPL", "Lesser General", "3", "library"), ("LGPL", "Lesser General", "3", "program"), ("AGPL", "Affero General", "3", "program")]
+TITLES = {"Apache-2.0": "Apache License 2.0", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "MPL-2.0": "Mozilla Public License 2.0", "Unlicense": "Unlicense", "CC0-1.0": "CC0 1.0", "LGPL-2.1": "GNU Lesser General Public License, version 2.1", "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3", "GPL-2.0": "GNU General Public License, version 2"}
+
+
+def _whole() -> list[tuple[str, str]]:
+    out = []
+    for name in TEXTS:
+        text = (Path(__file__).with_name("license_texts") / f"{name}.txt").read_text()
+        cut = {"Apache-2.0": "END OF TERMS AND CONDITIONS", "GPL-2.0": "END OF TERMS AND CONDITIONS", "GPL-3.0": "END OF TERMS AND CONDITIONS", "LGPL-2.1": "END OF TERMS AND CONDITIONS"}.get(name)
+        forms = [text, *([text[: text.index(cut) + len(cut)], text[: text.index(cut)]] if cut else [])]
+        if name == "CC0-1.0":
+            forms.append(text.replace("Creative Commons Legal Code", "", 1))
+        forms += [t.replace("https://", "http://") for t in forms] + [t.replace("http://", "https://") for t in forms]
+        out += [(name, t) for f in forms for t in (f, re.sub(r"(?<!\n)\n(?!\n)", " ", f))]
+    return out
+
+
+def _bsd() -> list[tuple[str, str]]:
+    """The 2 and 3 clauses with and without title, reservation and numbers, for the usual names of the holder."""
+    out = []
+    holders = [("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER"), ("COPYRIGHT HOLDERS", "COPYRIGHT OWNER"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS"), ("REGENTS", "REGENTS"), ("AUTHOR", "AUTHOR"), ("AUTHORS", "AUTHORS")]
+    names = ["", "Neither the name of the copyright holder nor the names of its contributors", "Neither the name of the University nor the names of its contributors", "Neither the name of the author nor the names of its contributors", "Neither the name of the copyright holders nor the names of its contributors"]
+    for (many, one), neither, reserved, numbered in product(holders, names, ("", "All rights reserved.\n\n"), (True, False)):
+        clauses = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+        if neither:
+            clauses.append(f"{neither} may be used to endorse or promote products derived from this software without specific prior written permission.")
+        text = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+        text += "\n\n".join((f"{k}. " if numbered else "* ") + c for k, c in enumerate(clauses, 1))
+        text += f"""\n\nTHIS SOFTWARE IS PROVIDED BY THE {many} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {one} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+        name = f"BSD-{len(clauses)}-Clause"
+        out += [(name, title + reserved + text) for title in ("", f"{TITLES[name]}\n\n", f"The {TITLES[name]}\n\n")]
+    return out
+
+
+def _headers() -> list[tuple[str, str]]:
+    """The notices at the head of files: the paragraph that names the licence, and the whole notice."""
+    out = []
+    use = 'under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    asf = "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to you "
+    rest = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    for lead, scheme in product(("Licensed ", asf), ("http", "https")):
+        at = f"{lead}{use} {scheme}://www.apache.org/licenses/LICENSE-2.0"
+        out += [("Apache-2.0", t) for t in (lead + use, at, f"{at} {rest}")]
+    for (short, kind, version, this), terms in product(GNU, ("either version {} of the License, or (at your option) any later version.", "version {}.", "version {} of the License.")):
+        name = f"{short}-{version}" if "." in version else f"{short}-{version}.0"
+        grant = f"This {this} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, {terms.format(version)}"
+        hope = f"This {this} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+        got = f"You should have received a copy of the GNU {kind} Public License along with this {this}"
+        ends = [f"If not, see <{scheme}://www.gnu.org/licenses/>." for scheme in ("http", "https")] + [f"if not, write to the Free Software Foundation, Inc., {at} USA" for at in ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307")]
+        out += [(name, grant), *[(name, f"{grant} {hope} {got}. {end}") for end in ends]]
+    out += [("MPL-2.0", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {scheme}://mozilla.org/MPL/2.0/.") for scheme in ("http", "https")]
+    for name, title in TITLES.items():
+        out += [(name, f"{verb} under the {title}.") for verb in ("Licensed", "Released")]
+        out += [(name, f"SPDX-License-Identifier: {name}{end}") for end in (("", "-only", "-or-later") if "GPL" in name else ("",))]
+    out += [("GPL-3.0", f"SPDX-License-Identifier: GPL-3.0{end}") for end in ("", "-or-later")]
+    out += [(name, f"SPDX-License-Identifier: {name}") for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")]
+    return out
+
+
+KNOWN += [("MIT", f"{title}\n\n{_MIT}") for title in ("The MIT License (MIT)", "The MIT License")] + _whole() + _bsd() + _headers()
 #: The canonical form, as substitutions in this order (the syntax of both Java and RE2).
 STEPS = [
     (r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$", " "),
@@ -58,7 +122,7 @@ STEPS = [
     (r"[^\p{L}\p{N}]+", " "),
 ]
 #: Every known text holds one of these words, in any spelling, so a unit without them needs no digest.
-ANCHOR = r"(?i)licen[cs]|permission"
+ANCHOR = r"(?i)licen[cs]|permission|redistribut|released under"
 
 
 def canonical_text(text: str) -> str:
