@@ -54,4 +54,4 @@ def test_curve_brute_force():
 def test_segment_metrics_without_distance(spark):
     df = rows(spark, [0, 10, 30], [None, None, None])
     m = A.segment_metrics(df, ["k"], "t", "seq", "v", 1.0, 10).first()
-    assert (m.elapsed_s, m.moving_s, m.distance) == (30.0, 30.0, None)
+    assert (m.elapsed_s, m.moving_s, m.distance) == (30.0, None, None)

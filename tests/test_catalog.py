@@ -59,3 +59,32 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_public_names():
+    import waymark
+
+    assert set(waymark.__all__) >= {"ActivitiesConfig", "CommuteConfig", "GeocodingConfig", "MndTuning", "RouteClusterConfig", "cluster_routes", "piecewise_fit_cached"}
+    assert all(callable(getattr(waymark, n)) for n in waymark.__all__)
+    with pytest.raises(AttributeError):
+        waymark.nothing
+
+
+def test_package_reaches_workers_elsewhere(tmp_path):
+    """A driver that knows the package by its own path only, in another folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(catalog.__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+from waymark.session import ship
+from waymark.plans import catalog
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+ship(spark); ship(spark)
+print("rows", catalog.power_curve_long(spark, {SF!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "rows " in out.stdout, out.stderr[-2000:]

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import graph, models, routes
 
@@ -23,9 +24,9 @@ def test_frechet_brute_force():
 
 def test_resample_counts():
     line = np.column_stack([np.linspace(0, 5200, 30), np.zeros(30)])
-    got, length = routes.evenly(line, routes.RouteConfig())
+    got, length = routes.evenly(line, routes.RouteClusterConfig())
     assert len(got) == 20 and length == pytest.approx(5200)
-    assert routes.evenly(np.zeros((3, 2)), routes.RouteConfig()) is None
+    assert routes.evenly(np.zeros((3, 2)), routes.RouteClusterConfig()) is None
 
 
 def test_dbscan_noise_and_border(spark):
@@ -95,7 +96,7 @@ def test_piecewise(spark):
     assert [r.value for r in fixed] == pytest.approx([100, 85, 113], abs=1e-2)
     assert [r.rate for r in fixed][:2] == pytest.approx([-1, 2], abs=1e-2) and fixed[2].rate is None
     assert abs(fixed[1].at - 15 * 86400) < 3600
-    given = models.piecewise(df, ["k"], "t", "x", breaks=[15 * 86400.0]).orderBy("at").collect()
+    given = models.piecewise(df, ["k"], "t", "x", breaks=[0.0, 15 * 86400.0, 29 * 86400.0]).orderBy("at").collect()
     assert [r.value for r in given] == pytest.approx([100, 85, 113])
     auto = models.piecewise(df, ["k"], "t", "x", max_segments=2).count()
     assert auto == 3
@@ -107,3 +108,71 @@ def test_piecewise_limits():
     assert models.spaced(np.zeros(3), 0.0, 4.0).tolist() == [4.0, 8.0, 12.0]
     score = {n: models.bic(s, 30, n) for n, s in ((1, 1000.0), (2, 1.0), (3, 0.95))}
     assert min(score, key=score.get) == 2 and models.bic(0.0, 30, 1) == -np.inf
+
+
+def test_piecewise_against_every_pair_of_breaks():
+    """The search finds breaks no worse than the best of a fine grid."""
+    rng = np.random.default_rng(4)
+    for k in range(6):
+        x = np.sort(rng.random(40)) * 86400 * 30
+        y = np.interp(x, [0, 86400 * rng.uniform(5, 12), 86400 * rng.uniform(15, 25), 86400 * 30], rng.normal(0, 10, 4)) + rng.normal(0, 0.5, 40)
+        grid = np.linspace(x.min(), x.max(), 60)[1:-1]
+        for segments, sets in ((2, [(b,) for b in grid]), (3, [(a, b) for i, a in enumerate(grid) for b in grid[i + 1 :]])):
+            best = min(models.hinge_fit(x, y, np.array([x.min(), *s, x.max()]))[1] for s in sets)
+            breaks, values, ssr = models.fit_segments(x, y, segments)
+            assert ssr <= best * (1 + 1e-6) and np.all(np.diff(breaks) >= 0)
+            assert ssr == pytest.approx(models.hinge_fit(x, y, breaks)[1])
+        sums = models.Sums((x - x.min()) / np.ptp(x), (y - y.mean()) / y.std())
+        u = np.sort(rng.random((5, 3)), axis=1)
+        want = [models.hinge_fit((x - x.min()) / np.ptp(x), (y - y.mean()) / y.std(), np.array([0, *r, 1]))[1] for r in u]
+        assert sums.residuals(u) == pytest.approx(want, rel=1e-6, abs=1e-8)
+
+
+def test_frechet_pairs_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        n, scale = int(rng.integers(2, 6)), float(rng.uniform(900, 1500))
+        line = np.cumsum(rng.random((n, 2)) * scale / n, axis=0)
+        rows.append((k % 2, k, float(scale), line[:, 0].tolist(), line[:, 1].tolist()))
+    df = spark.createDataFrame(rows, "part int, node int, length_m double, xs array<double>, ys array<double>")
+    config = routes.RouteClusterConfig()
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] == b[0] and max(a[2], b[2]) <= 1.2 * min(a[2], b[2]):
+                d = brute_frechet(np.column_stack(a[3:]), np.column_stack(b[3:]))
+                want[a[1], b[1]] = d / (50 + 0.018 * (a[2] + b[2]) / 2)
+    for block in (256, 3):
+        monkeypatch.setattr(routes, "BLOCK", block)
+        assert {(r.a, r.b): r.distance for r in routes.frechet_pairs(df, "part", "node", config).collect()} == pytest.approx(want)
+        limit = float(np.median(list(want.values())))
+        near = {(r.a, r.b): r.distance for r in routes.frechet_pairs(df, "part", "node", config, within=limit).collect()}
+        assert near == pytest.approx({k: d for k, d in want.items() if d <= limit})
+    assert routes.frechet_pairs(df.limit(0), "part", "node", config).count() == 0
+
+
+def test_chain_links_connect_as_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (lat, lon) in enumerate([(0.0, 0.0), (60.0, 10.0), (-45.0, -70.0), (37.0, -122.0)]):
+        for j in range(60):
+            r = 0.02 / np.cos(np.radians(lat))
+            rows.append((100 * k + j, lat + float(rng.uniform(-0.02, 0.02)), lon + float(rng.uniform(-r, r))))
+    rows += [(1000 + j, 37.5 + 1e-5 * (j % 7), -122.5) for j in range(50)] + [(2000, 37.5 + 0.0013, -122.5)]
+    df = spark.createDataFrame(rows, "node int, lat double, lon double")
+    for within, block in ((150.0, 2000), (400.0, 3)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        labels = lambda links: {r.node: r.comp for r in graph.components(df.select("node"), links).collect()}
+        want = labels(graph.neighbours(df, "node", "lat", "lon", within))
+        assert labels(graph.chain_links(df, "node", "lat", "lon", within)) == want
+        assert 1 < len(set(want.values())) < len(rows)
+    assert graph.chain_links(df.limit(0), "node", "lat", "lon", 10.0).count() == 0
+
+
+def test_numbered_is_one_order(spark):
+    df = spark.range(1000).selectExpr("id % 37 as a", "id as b").repartition(7)
+    order = [F.desc("a"), F.col("b")]
+    got = [r.k for r in graph.numbered(df, order, "k").orderBy(*order).collect()]
+    assert got == list(range(1000))
+    assert graph.numbered(df.limit(0), order, "k").count() == 0

@@ -58,7 +58,7 @@ def test_ewm_carries_nulls_and_matches_definition(spark):
 
 
 def test_ewm_carries_the_mean_over_a_long_gap(spark):
-    """12.45 is what the reference's pandas ewm with times has at day 259 as at day 4."""
+    """The mean of day 4 still stands at day 259."""
     values = {0: 10.0, 2: 14.0, 4: 13.0}
     days = [0, 1, 2, 4, 100, 184, 185, 186, 259, 700]
     df = spark.createDataFrame([(1, t, values.get(t)) for t in days] + [(1, 701, 20.0), (1, 702, None), (2, 259, None)], "k int, t int, x double")
@@ -70,6 +70,23 @@ def test_ewm_carries_the_mean_over_a_long_gap(spark):
     assert [got[1, 701], got[1, 702]] == pytest.approx([20.0] * 2, rel=1e-12)
 
 
+def test_ewm_over_many_blocks(spark):
+    """Long series, with gaps around the length of a block, against the definition."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    t = np.cumsum(np.concatenate([rng.uniform(0.1, 40, 300), [700, 0.5, 1.0, 768, 2.0, 0.1, 5000, 3.0], rng.uniform(0.1, 3, 100)]))
+    x = [None if rng.random() < 0.2 else float(v) for v in rng.normal(100, 30, len(t))]
+    df = spark.createDataFrame([(1, float(a), b) for a, b in zip(t, x)], "k int, t double, x double")
+    got = [r.m for r in T.ewm(df, ["k"], "t", "x", "m", 3.0, 1).orderBy("t").collect()]
+    mean, weight, last = 0.0, 0.0, t[0]
+    for a, b, m in zip(t, x, got):
+        if b is not None:
+            fade = 2 ** ((last - a) / 3.0)
+            mean, weight, last = (mean * weight * fade + b) / (weight * fade + 1), weight * fade + 1, a
+        assert m is None if not weight else m == pytest.approx(mean, rel=1e-9)
+
+
 def test_rolling_slope(spark):
     got = lambda v, *a, **k: [r.s for r in T.rolling_slope(series(spark, v), ["k"], "t", "x", "s", *a, **k).orderBy("t").collect()]
     assert got([2.0 * k for k in range(10)], 5, 2) == pytest.approx([2.0] * 10)

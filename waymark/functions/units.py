@@ -15,6 +15,7 @@ SECONDS = {"s": 1.0, "m": 60.0, "h": 3600.0, "D": 86400.0, "W": 604800.0}
 #: Equatorial radius for boxes and neighbourhoods, mean radius for great circles.
 EARTH_EQUATOR_M = 6378137.0
 EARTH_MEAN_M = 6371009.0
+EARTH_M_PER_DEG = EARTH_EQUATOR_M * math.pi / 180
 
 
 def ewm_min_periods(halflife: float, coverage: float, floor: int = 2) -> int:

@@ -57,14 +57,14 @@ def moving_time(df: DataFrame, keys: list[str], t: str, seq: str, flag: str = "i
 
 
 def segment_metrics(df: DataFrame, keys: list[str], t: str, seq: str, distance: str, threshold: float, min_seconds: float) -> DataFrame:
-    """Start, elapsed and moving seconds, and distance of each group; without distances moving is elapsed."""
+    """Start, elapsed and moving seconds, and distance of each group; without distances the distance and the moving seconds are null."""
     flagged = inactive(df, keys, t, seq, distance, threshold, min_seconds)
     dt = F.coalesce(F.col(t) - F.lag(t).over(_order(keys, (t, seq))), F.lit(0.0))
     out = flagged.withColumn("__dt", dt).groupBy(*keys).agg(
         F.min(t).alias("start_s"), (F.max(t) - F.min(t)).alias("elapsed_s"), (F.max(distance) - F.min(distance)).alias("distance"),
         F.sum(F.when(~F.col("inactive"), F.col("__dt")).otherwise(0.0)).alias("__moving"), F.count(distance).alias("__n"),
     )
-    return out.withColumn("moving_s", F.when(F.col("__n") > 0, F.col("__moving")).otherwise(F.col("elapsed_s"))).drop("__moving", "__n")
+    return out.withColumn("moving_s", F.when(F.col("__n") > 0, F.col("__moving"))).drop("__moving", "__n")
 
 
 def trim_valid(df: DataFrame, keys: list[str], t: str, seq: str, lat: str = "latitude") -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from waymark.functions.units import SECONDS
 
 
+#: Costs of standardised features that differ by less are equal.
+TIE = 1e-7
+
+
 def pelt(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
     """The last-plus-one positions of the segments of least squared deviation plus penalty (Killick et al. 2012)."""
     n = len(signal)
@@ -33,8 +37,10 @@ def pelt(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
         fit = fit[(until[fit] > t) & np.isfinite(best[fit])]
         held = best[fit] + cost(fit, t)
         k = int(held.argmin())
+        # Of starts that are equally good but for rounding the first counts.
+        k = int(np.flatnonzero(held <= held[k] + TIE)[0])
         best[t], back[t] = held[k] + penalty, fit[k]
-        lost = fit[held > best[t]]
+        lost = fit[held > best[t] + TIE]
         until[lost] = np.minimum(until[lost], t + min_size)
     ends, t = [], n
     while t > 0:
@@ -44,7 +50,12 @@ def pelt(signal: np.ndarray, penalty: float, min_size: int = 2) -> list[int]:
 
 
 def change_spans(df: DataFrame, keys: list[str], at: str, features: list[str], penalty: float, min_size: int = 2) -> DataFrame:
-    """(keys, span, start, end): spans between change points of the standardised features; rows with a null take no part."""
+    """(keys, span, start, end): spans between change points of the standardised features; rows with a null take no part.
+
+    One series is in memory at a time; its cost grows with the square of its
+    length where no start is ever ruled out, so series of more than some ten
+    thousand rows should be split by a further key or averaged first.
+    """
 
     def spans(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
@@ -87,8 +98,47 @@ def spaced(u: np.ndarray, lo: float, gap: float) -> np.ndarray:
     return lo + gap * np.arange(1, len(u) + 1) + np.sort(u)
 
 
+class Sums:
+    """Sums over the rows behind each point of a series, from which the squared residuals of many sets of breaks follow at once.
+
+    ``x`` rises from 0 to 1.  The sums behind a break give the products of its
+    hinge with all others, so a set of k breaks costs k*k, however long the
+    series is.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.n = x, len(x)
+        behind = lambda v: np.append(np.cumsum(v[::-1])[::-1], 0.0)
+        self.s = [behind(x**p) for p in range(3)]
+        self.t = [behind(y * x**p) for p in range(2)]
+        self.yy = float(y @ y)
+
+    def residuals(self, breaks: np.ndarray) -> np.ndarray:
+        """The squared residuals of each row of rising interior breaks."""
+        rows, k = breaks.shape
+        at = np.searchsorted(self.x, breaks, "right")
+        s0, s1, s2, t0, t1 = (v[at] for v in (*self.s, *self.t))
+        g, r = np.empty((rows, k + 2, k + 2)), np.empty((rows, k + 2))
+        g[:, 0, 0], g[:, 0, 1], g[:, 1, 1] = self.s[0][0], self.s[1][0], self.s[2][0]
+        g[:, 0, 2:], g[:, 1, 2:] = s1 - breaks * s0, s2 - breaks * s1
+        for i in range(k):
+            b = breaks[:, i : i + 1]
+            g[:, i + 2, i + 2 :] = s2[:, i:] - (b + breaks[:, i:]) * s1[:, i:] + b * breaks[:, i:] * s0[:, i:]
+        upper = np.triu_indices(k + 2, 1)
+        g[:, upper[1], upper[0]] = g[:, upper[0], upper[1]]
+        r[:, 0], r[:, 1], r[:, 2:] = self.t[0][0], self.t[1][0], t1 - breaks * t0
+        # Breaks that coincide make equal columns; the least ridge keeps the system solvable.
+        held = g + np.eye(k + 2) * (1e-12 * self.n)
+        beta = np.linalg.solve(held, r[..., None])[..., 0]
+        return np.maximum(0.0, self.yy - 2 * (r * beta).sum(1) + np.einsum("ri,rij,rj->r", beta, g, beta))
+
+
 def fit_segments(x: np.ndarray, y: np.ndarray, n_segments: int, min_length: float = 0.0, search: Search = Search()) -> tuple[np.ndarray, np.ndarray, float]:
-    """(breaks, values, squared residuals) of the best ``n_segments`` joined lines; ValueError if they do not fit."""
+    """(breaks, values, squared residuals) of the best ``n_segments`` joined lines; ValueError if they do not fit.
+
+    A generation of the search is solved at once, from sums; the breaks found
+    are fitted once more on the rows themselves.
+    """
     lo, hi = float(x.min()), float(x.max())
     slack = hi - lo - n_segments * min_length
     if slack < 0 or hi == lo or len(x) < 2:
@@ -101,34 +151,36 @@ def fit_segments(x: np.ndarray, y: np.ndarray, n_segments: int, min_length: floa
     k = n_segments - 1
     if not k:
         return solve(np.zeros(0))
-    rng = np.random.default_rng(search.seed)
-    pop = rng.random((search.population, k)) * slack
-    score = np.array([solve(u)[2] for u in pop])
+    order = np.argsort(x, kind="stable")
+    spread = y.std() or 1.0
+    sums = Sums((x[order] - lo) / (hi - lo), (y[order] - y.mean()) / spread)
+    steps = min_length * np.arange(1, k + 1)
+    scores = lambda u: sums.residuals((steps + np.sort(u, axis=1)) / (hi - lo))
+    rng, n = np.random.default_rng(search.seed), search.population
+    # One start in each of ``n`` equal parts of every break's range.
+    pop = (np.stack([rng.permutation(n) for _ in range(k)], axis=1) + rng.random((n, k))) / n * slack
+    score = scores(pop)
     for _ in range(search.rounds):
         lead = pop[score.argmin()]
-        for i in range(len(pop)):
-            a, b = pop[rng.choice(len(pop), 2, replace=False)]
-            trial = np.clip(lead + rng.uniform(0.5, 1.0) * (a - b), 0, slack)
-            cross = rng.random(k) < 0.7
-            cross[rng.integers(k)] = True
-            trial = np.where(cross, trial, pop[i])
-            s = solve(trial)[2]
-            if s <= score[i]:
-                pop[i], score[i] = trial, s
+        a, b = rng.integers(n, size=(2, n))
+        trial = np.clip(lead + rng.uniform(0.5, 1.0) * (pop[a] - pop[b]), 0, slack)
+        cross = rng.random((n, k)) < 0.7
+        cross[np.arange(n), rng.integers(k, size=n)] = True
+        trial = np.where(cross, trial, pop)
+        new = scores(trial)
+        better = new <= score
+        pop[better], score[better] = trial[better], new[better]
         if score.std() <= search.tolerance * abs(score.mean()) + 1e-12:
             break
-    best, step = pop[score.argmin()].copy(), slack / 50
-    value = solve(best)[2]
+    best, value, step = pop[score.argmin()].copy(), float(score.min()), slack / 50
+    moves = np.vstack([np.eye(k), -np.eye(k)])
     while step > slack * 1e-7:  # local refinement
-        better = False
-        for j in range(k):
-            for d in (step, -step):
-                trial = best.copy()
-                trial[j] = min(slack, max(0.0, trial[j] + d))
-                s = solve(trial)[2]
-                if s < value:
-                    best, value, better = trial, s, True
-        step = step if better else step / 2
+        trial = np.clip(best + step * moves, 0, slack)
+        new = scores(trial)
+        if new.min() < value:
+            best, value = trial[new.argmin()], float(new.min())
+        else:
+            step /= 2
     return solve(best)
 
 
@@ -145,8 +197,9 @@ def _table(breaks: np.ndarray, values: np.ndarray, per: float) -> pd.DataFrame:
 def piecewise(df: DataFrame, keys: list[str], at: str, value: str, unit: str = "D", n_segments: int | None = None, breaks: list[float] | None = None, max_segments: int = 6, min_length: float = 0.0, search: Search = Search()) -> DataFrame:
     """(keys, at, value, rate): joined lines through a series whose ``at`` is in seconds; rates are per unit.
 
-    With ``breaks`` at these, with ``n_segments`` so many, else as many as the
-    Bayesian information criterion prefers, up to the first that does not fit.
+    With ``breaks`` between these, the first and the last one included, with
+    ``n_segments`` so many, else as many as the Bayesian information criterion
+    prefers, up to the first that does not fit.
     Series are fitted in parallel, one at a time in memory.
     """
     per = SECONDS[unit]
@@ -156,7 +209,7 @@ def piecewise(df: DataFrame, keys: list[str], at: str, value: str, unit: str = "
         zero = x.min()
         x = x - zero
         if breaks is not None:
-            edges = np.array([x.min(), *[b - zero for b in sorted(breaks)], x.max()])
+            edges = np.array(sorted(breaks)) - zero
             out = _table(edges, hinge_fit(x, y, edges)[0], per)
         else:
             found, least = None, np.inf

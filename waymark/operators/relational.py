@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions import units
+from waymark.functions.expressions import haversine_m
+
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
@@ -38,14 +41,23 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")
 
 
-def least_recent(df: DataFrame, at: str, keep: int, *ties: str) -> DataFrame:
-    """All rows but the ``keep`` latest."""
-    return df.withColumn("__k", F.row_number().over(Window.orderBy(F.desc(at), *ties))).where(F.col("__k") > keep).drop("__k")
+def least_recent(df: DataFrame, at: str, keep: int, *keys: str) -> DataFrame:
+    """All rows but the ``keep`` latest; ``keys`` tell rows apart and order equal times.  Only ``keep`` rows meet in one place."""
+    latest = df.select(at, *keys).orderBy(F.desc(at), *keys).limit(keep)
+    return df.join(latest, same(df, latest, [at, *keys]), "left_anti")
+
 
+def fingerprint(df: DataFrame, groups: list[str], cols: list, config: str = "") -> DataFrame:
+    """(groups, fingerprint): an md5 of the distinct keys, in whatever order, and of the configuration.
 
-def fingerprint(df: DataFrame | None, cols: list, config: str = "") -> Column:
-    """An aggregate: md5 of the distinct non-null keys in order, and the configuration."""
-    return F.md5(F.concat_ws("\n", F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", *cols))), "\n"), F.lit(config)).cast("binary"))
+    Keys are hashed one by one and their hashes added up, so no task holds
+    them all.  A null in a key counts as the empty text.
+    """
+    key = F.md5(F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]).cast("binary"))
+    keys = df.select(*groups, key.alias("__key")).distinct()
+    part = lambda a: F.sum(F.conv(F.substring("__key", a, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    text = F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.coalesce(part(1), F.lit("0")), F.coalesce(part(17), F.lit("0")), F.lit(config))
+    return keys.groupBy(*groups).agg(F.md5(text.cast("binary")).alias("fingerprint"))
 
 
 def nearest_within(points: DataFrame, key: str, places: DataFrame, within_m: float, payload: str) -> DataFrame:
@@ -54,10 +66,7 @@ def nearest_within(points: DataFrame, key: str, places: DataFrame, within_m: flo
     points: (key, lat, lon); places: (lat, lon, payload).  An equi-join of grid
     cells; a found place may have a null payload.
     """
-    from waymark.functions import units
-    from waymark.functions.expressions import haversine_m
-
-    size = within_m / (units.EARTH_EQUATOR_M * 3.141592653589793 / 180)
+    size = within_m / units.EARTH_M_PER_DEG
     exact = (F.round("lat", 4) == F.col("p_lat")) & (F.round("lon", 4) == F.col("p_lon"))
     wide = lambda cy: F.lit(size) / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(cy * size), F.abs((cy + 1) * size))))), F.lit(1e-3))
     rows = points.select(key, "lat", "lon", F.explode(F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1)).alias("cy"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,29 +19,32 @@ def resample(df: DataFrame, keys: list[str], day: str, value: str, how: str = "m
     return out.fillna({value: 0.0}) if how == "sum_zero" else out
 
 
+#: Half-lives of a block of ``ewm``: weights inside stay between 1 and 2**256, those of the block before last are below 2**-256.
+EWM_BLOCK = 256
+
+
 def ewm(df: DataFrame, keys: list[str], at: str, value: str, out: str, halflife: float, min_periods: int) -> DataFrame:
     """Mean weighted by 2 to the (age / halflife); ``at`` is numeric, in the halflife's unit.
 
     Null rows carry the mean on; null until ``min_periods`` values are seen.
-    The frame ends where weights are below 2**-60, so sums never overflow
-    and a long series costs no more for each row than a short one.  It is
-    taken at values only, where the newest weight is 1; the ratio stands until
-    the next value, after gaps longer than the frame too.
+    Sums run along blocks of time, with weights from each block's start, so
+    they never overflow and a row costs the same however long a series is; what
+    the block before adds is put in by its weight, and older blocks weigh
+    nothing.  The mean is taken at values only, where the newest weight is 1;
+    the ratio stands until the next value, after any gap.
     """
-    span = int(60 * halflife) + 1
-    by = Window.partitionBy(*keys).orderBy(at)
-    seen = F.count(value).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    near = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(at).cast("double").alias("t"), F.col(value).cast("double").alias("x")))).over(by.rangeBetween(-span, 0))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-
-    def fold(a: Column, p: Column) -> Column:
-        w = F.pow(F.lit(2.0), (p.t - F.col(at)) / halflife)
-        return F.struct((a.s + w * p.x).alias("s"), (a.w + w).alias("w"))
-
-    mean = F.aggregate("__near", zero, fold, lambda a: F.when(a.w > 0, a.s / a.w))
-    held = F.last("__mean", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("__near", near).withColumn("__seen", seen).withColumn("__mean", F.when(F.col(value).isNotNull(), mean))
-    return rows.withColumn(out, F.when(F.col("__seen") >= min_periods, held)).drop("__near", "__seen", "__mean")
+    span = EWM_BLOCK * halflife
+    t, x = F.col(at).cast("double"), F.col(value).cast("double")
+    df = df.withColumn("__block", F.floor(t / span))
+    df = df.withColumn("__w", F.when(x.isNotNull(), F.pow(F.lit(2.0), (t - F.col("__block") * span) / halflife)))
+    df = df.withColumn("__wx", F.col("__w") * x)
+    by = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*keys, "__block").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rangeBetween(-1, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(here), F.lit(0.0)) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * 2.0**-EWM_BLOCK
+    mean = F.when(x.isNotNull(), total("__wx") / total("__w"))
+    df = df.withColumn("__mean", mean).withColumn("__seen", F.count(value).over(by)).withColumn("__held", F.last("__mean", ignorenulls=True).over(by))
+    return df.withColumn(out, F.when(F.col("__seen") >= min_periods, F.col("__held"))).drop("__block", "__w", "__wx", "__mean", "__seen", "__held")
 
 
 def rolling_slope(df: DataFrame, keys: list[str], at: str, value: str, out: str, window: int, min_periods: int, per_step: float = 1.0, center: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import expressions as X
 from waymark.functions import units
 from waymark.operators import activity, graph, models, relational, routes, timeseries
+from waymark.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,8 +172,9 @@ def weekly_sun_sum(spark, sf_dir):
 
 
 EWM = GRID + """, e as (select l.d, l.t, l.x, (select count(x) from grid r where r.t <= l.t) as n,
-  (select sum(r.x * pow(2, (r.t - l.t) / 3.0)) / sum(pow(2, (r.t - l.t) / 3.0)) from grid r where r.t between l.t - 181 and l.t and r.x is not null) as m from grid l),
-ewm as (select d, t, x, case when n >= 4 then m end as smoothed from e)"""
+  (select sum(r.x * pow(2, (r.t - l.t) / 3.0)) / sum(pow(2, (r.t - l.t) / 3.0)) from grid r where r.t between l.t - 181 and l.t and r.x is not null) as near from grid l),
+  held as (select *, last_value(case when x is not null then near end ignore nulls) over (order by t rows unbounded preceding) as m from e),
+ewm as (select d, t, x, case when n >= 4 then m end as smoothed from held)"""
 
 
 def smoothed(spark, sf_dir):
@@ -284,16 +286,16 @@ def session_window_builtin(spark, sf_dir):
     return rec(spark, sf_dir).groupBy("activity_id", w.alias("w")).agg(F.min("ts").alias("start_ts"), F.count(F.lit(1)).alias("n")).select("activity_id", "start_ts", "n")
 
 
-_SEG = CUTS + f""", rec2 as (select * from sess), v as (select *, distance - lag(distance) over w as dv, t - lag(t) over w as dt from rec2 window w as (partition by activity_id, session order by t, seq)),
+_SEG = CUTS + f""", rec2 as (select * replace (case when activity_id % 7 <> 3 then distance end as distance) from sess), v as (select *, distance - lag(distance) over w as dv, t - lag(t) over w as dt from rec2 window w as (partition by activity_id, session order by t, seq)),
 bl as (select *, case when dv is null or dt is null then true when dt = 0 then dv <= 0 else dv / dt < {THRESHOLD} end as below from v),
 nn as (select *, case when below = lag(below) over (partition by activity_id, session order by t, seq) then 0 else 1 end as new from bl),
 rr as (select *, sum(new) over (partition by activity_id, session order by t, seq rows unbounded preceding) as run from nn),
 ff as (select *, below and max(t) over (partition by activity_id, session, run) - min(t) over (partition by activity_id, session, run) >= 7200 as inactive from rr)"""
 
 
-@query(f"with {_SEG} select activity_id, session, round(max(t) - min(t), 3) as elapsed_s, round(max(distance) - min(distance), 4) as distance, round(sum(case when not inactive then coalesce(dt, 0) else 0 end), 3) as moving_s from ff group by 1, 2")
+@query(f"with {_SEG} select activity_id, session, round(max(t) - min(t), 3) as elapsed_s, round(max(distance) - min(distance), 4) as distance, round(case when count(distance) > 0 then sum(case when not inactive then coalesce(dt, 0) else 0 end) end, 3) as moving_s from ff group by 1, 2")
 def segment_metrics(spark, sf_dir):
-    s = activity.sessions(rec(spark, sf_dir), KEY, "t", "seq", GAP)
+    s = activity.sessions(rec(spark, sf_dir), KEY, "t", "seq", GAP).withColumn("distance", F.when(F.col("activity_id") % 7 != 3, F.col("distance")))
     m = activity.segment_metrics(s, ["activity_id", "session"], "t", "seq", "distance", THRESHOLD, 7200.0)
     return m.select("activity_id", "session", r4("elapsed_s", 3).alias("elapsed_s"), r4("distance").alias("distance"), r4("moving_s", 3).alias("moving_s"))
 
@@ -363,8 +365,8 @@ _COMP = ", reach(node, comp) as (select a, a from near union select near.b, comp
 
 @query(f"with recursive {LINKS}{_COMP} select node, min(comp) as comp from reach group by 1")
 def eps_components(spark, sf_dir):
-    s = graph.stored(_starts(spark, sf_dir), "starts")
-    return graph.components(s.select("node"), graph.neighbours(s, "node", "lat", "lon", EPS))
+    s = stored(_starts(spark, sf_dir), "starts")
+    return graph.components(s.select("node"), graph.chain_links(s, "node", "lat", "lon", EPS))
 
 
 _PART = FIRST + "".join(f", near_{w} as (select a.activity_id as a, b.activity_id as b from (select activity_id, {c}lat as a_lat, {c}lon as a_lon from firstpos where lat is not null) a, (select activity_id, {c}lat as b_lat, {c}lon as b_lon from firstpos where lat is not null) b where {HAV.format(r=6378137.0, a='a', b='b')} <= {EPS}), reach_{w}(node, comp) as (select a, a from near_{w} union select near_{w}.b, comp from reach_{w} join near_{w} on near_{w}.a = reach_{w}.node), label_{w} as (select node, min(comp) as {w}_label from reach_{w} group by 1)" for w, c in (("start", ""), ("end", "end_")))
@@ -375,7 +377,7 @@ def start_end_partitions(spark, sf_dir):
     r = rec(spark, sf_dir).where("latitude is not null")
     spot = F.struct("t", "seq", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     ends = r.groupBy(F.col("activity_id").alias("node")).agg(F.min(spot).alias("s"), F.max(spot).alias("e")).select("node", F.col("s.lat").alias("start_lat"), F.col("s.lon").alias("start_lon"), F.col("e.lat").alias("end_lat"), F.col("e.lon").alias("end_lon"))
-    p = routes.start_end_partitions(graph.stored(ends, "ends"), "node", EPS)
+    p = routes.start_end_partitions(stored(ends, "ends"), "node", EPS)
     return p.groupBy("start_label", "end_label").agg(F.count(F.lit(1)).alias("n")).where("n >= 1")
 
 
@@ -387,7 +389,7 @@ border as (select a as node, min(cluster) as near from near join placed on place
 
 @query(f"with recursive {_DB} select f.activity_id as node, coalesce(placed.cluster, border.near, -1)::int as cluster from firstpos f left join placed on placed.node = f.activity_id left join border on border.node = f.activity_id where f.lat is not null")
 def dbscan_clusters(spark, sf_dir):
-    s = graph.stored(_starts(spark, sf_dir), "starts")
+    s = stored(_starts(spark, sf_dir), "starts")
     return graph.dbscan(s.select("node"), graph.neighbours(s, "node", "lat", "lon", EPS), 3)
 
 
@@ -441,7 +443,7 @@ def frechet_pairs(spark, sf_dir):
 @query("with c as (select user_id % 9 as part, event_type as label, value as v from events), m as (select part, mode(label order by label) as name, median(v) as centre, count(*) as n from c group by 1 having count(*) >= 2) select part, name, round(centre, 4) as centre, (row_number() over (order by n desc, part) - 1)::int as rank from m")
 def cluster_rank_name(spark, sf_dir):
     c = _read(spark, sf_dir, "events").groupBy((F.col("user_id") % 9).alias("part")).agg(F.expr("mode(event_type, true)").alias("name"), F.median("value").alias("centre"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return c.select("part", "name", r4("centre").alias("centre"), (F.row_number().over(Window.orderBy(F.desc("n"), "part")) - 1).cast("int").alias("rank"))
+    return graph.numbered(c, [F.desc("n"), F.col("part")], "rank").select("part", "name", r4("centre").alias("centre"), F.col("rank").cast("int").alias("rank"))
 
 
 @query()
@@ -452,11 +454,11 @@ def route_clusters(spark, sf_dir):
     return routes.cluster(r.select(F.col("activity_id").alias("node"), F.struct("t", "seq").alias("at"), "latitude", "longitude").withColumn("at", F.col("at.t")), names)
 
 
-@query(f"with {FIRST}, pts as (select activity_id as node, lat, lon from firstpos where lat is not null and activity_id % 2 = 0), places as (select round(lat, 4) as p_lat, round(lon, 4) as p_lon, case when activity_id % 5 > 0 then activity_id end as address from firstpos where lat is not null and activity_id % 3 = 0), j as (select node, address, not (round(lat, 4) = p_lat and round(lon, 4) = p_lon) as far, {HAV.format(r=6371009.0, a='q', b='p')} as d, p_lat, p_lon from (select *, lat as q_lat, lon as q_lon from pts), places), b as (select node, address, row_number() over (partition by node order by far, d, p_lat, p_lon, address nulls first) as k from j where d <= 200 or not far) select node, b.address, b.node is not null as found from pts left join (select * from b where k = 1) b using (node)")
+@query(f"with {FIRST}, pts as (select activity_id as node, lat, lon from firstpos where lat is not null), places as (select round(lat, 4) as p_lat, round(lon, 4) as p_lon, case when activity_id % 5 > 0 then activity_id end as address from firstpos where lat is not null and activity_id % 3 = 0), j as (select node, address, not (round(lat, 4) = p_lat and round(lon, 4) = p_lon) as far, {HAV.format(r=6371009.0, a='q', b='p')} as d, p_lat, p_lon from (select *, lat as q_lat, lon as q_lon from pts), places), b as (select node, address, row_number() over (partition by node order by far, d, p_lat, p_lon, address nulls first) as k from j where d <= 200 or not far) select node, b.address, b.node is not null as found from pts left join (select * from b where k = 1) b using (node)")
 def radius_lookup(spark, sf_dir):
     s = _starts(spark, sf_dir)
     places = s.where("node % 3 = 0").select(F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"), F.when(F.col("node") % 5 > 0, F.col("node")).alias("address"))
-    return relational.nearest_within(s.where("node % 2 = 0"), "node", places, 200.0, "address")
+    return relational.nearest_within(s, "node", places, 200.0, "address")
 
 
 # Keyed tables.
@@ -464,10 +466,10 @@ def radius_lookup(spark, sf_dir):
 
 def _cached(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")
-    return o.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", "o_totalprice"), o.where("o_orderkey % 4 = 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return o.where("o_orderkey % 3 < 2").select("o_orderkey", "o_custkey", "o_totalprice"), o.where("o_orderkey % 3 = 2 or o_orderkey % 4 = 0").select("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
 
 
-_C = "old as (select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey % 3 = 0), new as (select o_orderkey, o_custkey, o_totalprice * 2 as o_totalprice from orders where o_orderkey % 4 = 0)"
+_C = "old as (select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey % 3 < 2), new as (select o_orderkey, o_custkey, o_totalprice * 2 as o_totalprice from orders where o_orderkey % 3 = 2 or o_orderkey % 4 = 0)"
 
 
 @query(f"with {_C} select o_orderkey, o_orderkey in (select o_orderkey from old) as hit from new")
@@ -504,9 +506,12 @@ def sheet_union(spark, sf_dir):
     return s.unionByName(c, allowMissingColumns=True).select("id", "name", "balance", "segment")
 
 
-@query("select o_orderstatus, md5(string_agg(distinct o_orderpriority, chr(10) order by o_orderpriority) || chr(10) || 'v1') as fingerprint from orders group by 1")
+_KEYS = "with k as (select distinct o_orderstatus, md5(coalesce(o_orderpriority, '') || '|' || o_orderdate::date::varchar) as k from orders)"
+
+
+@query(f"{_KEYS} select o_orderstatus, md5(count(*) || ':' || sum(('0x' || substr(k, 1, 15))::bigint)::varchar || ':' || sum(('0x' || substr(k, 17, 15))::bigint)::varchar || ':v1') as fingerprint from k group by 1")
 def fingerprint_md5(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(relational.fingerprint(None, ["o_orderpriority"], "v1").alias("fingerprint"))
+    return relational.fingerprint(_read(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderpriority", F.col("o_orderdate").cast("date")], "v1")
 
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders) where k = 1")
@@ -532,12 +537,25 @@ def commute_spans(spark, sf_dir):
     return models.commute_spans(c, KEY, 10.0)
 
 
-@query(f"with {REC}, s as (select activity_id, min(t) as a, max(t) as b, regr_slope(distance, t - 1704067200) as m, regr_intercept(distance, t - 1704067200) as c from rec group by 1 having count(*) > 2 and max(t) > min(t)) select activity_id, unnest(['a', 'b']) as edge, unnest([round(c + m * (a - 1704067200), 3), round(c + m * (b - 1704067200), 3)]) as value, unnest([round(m * 86400, 3), null]) as rate from s")
+#: Days at which the lines through all activities meet, from the first to the last.
+DAYS = (0, 10, 30)
+_LINES = REC + f""", p as (select activity_id, t / 86400 - 19723 as x, distance as y from rec),
+m as (select activity_id, count(*)::double as n, sum(x) as x, sum(x * x) as xx, sum(greatest(0, x - {DAYS[1]})) as h, sum(greatest(0, x - {DAYS[1]}) * x) as xh, sum(greatest(0, x - {DAYS[1]}) ** 2) as hh, sum(y) as y, sum(x * y) as xy, sum(greatest(0, x - {DAYS[1]}) * y) as hy,
+  count(distinct case when x <= {DAYS[1]} then x end) as early, count(distinct case when x > {DAYS[1]} then x end) as late from p group by 1),
+d as (select *, n * (xx * hh - xh * xh) - x * (x * hh - xh * h) + h * (x * xh - xx * h) as det from m where early > 1 and late > 1),
+c as (select activity_id, (y * (xx * hh - xh * xh) - x * (xy * hh - xh * hy) + h * (xy * xh - xx * hy)) / det as a, (n * (xy * hh - xh * hy) - y * (x * hh - xh * h) + h * (x * hy - xy * h)) / det as b, (n * (xx * hy - xh * xy) - x * (x * hy - xy * h) + y * (x * xh - xx * h)) / det as c from d)"""
+
+
+@query(f"with {_LINES} select activity_id, unnest([0, 1, 2]) as edge, unnest([round(a + b * {DAYS[0]}, 3), round(a + b * {DAYS[1]}, 3), round(a + b * {DAYS[2]} + c * {DAYS[2] - DAYS[1]}, 3)]) as value, unnest([round(b, 3), round(b + c, 3), null]) as rate from c")
 def piecewise_given_breaks(spark, sf_dir):
-    r = rec(spark, sf_dir)
-    r = r.join(r.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("w")).where("n > 2 and w > 0").select("activity_id"), "activity_id")
-    p = models.piecewise(r, KEY, "t", "distance", "D", breaks=[])
-    return p.select("activity_id", F.when(F.col("rate").isNull(), F.lit("b")).otherwise(F.lit("a")).alias("edge"), r4("value", 3).alias("value"), r4("rate", 3).alias("rate"))
+    """Two joined lines, with the middle break given; of activities with two times on either side of it, which the fit needs."""
+    start = 1704067200.0
+    r, late = rec(spark, sf_dir), F.col("t") > start + DAYS[1] * 86400
+    sides = r.groupBy("activity_id").agg(F.count_distinct(F.when(late, F.col("t"))).alias("late"), F.count_distinct(F.when(~late, F.col("t"))).alias("early"))
+    r = r.join(sides.where("early > 1 and late > 1"), "activity_id", "left_semi")
+    p = models.piecewise(r, KEY, "t", "distance", "D", breaks=[start + d * 86400 for d in DAYS])
+    edge = F.row_number().over(Window.partitionBy("activity_id").orderBy("at")) - 1
+    return p.select("activity_id", edge.alias("edge"), r4("value", 3).alias("value"), r4("rate", 3).alias("rate"))
 
 
 @query()

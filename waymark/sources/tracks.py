@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from waymark.functions.units import EARTH_MEAN_M
 
 RECORD = "array<struct<ts:timestamp_ntz,latitude:double,longitude:double,distance:double,heart_rate:double,power:double>>"
+COLUMNS = ["seq", "ts", "latitude", "longitude", "distance", "heart_rate", "power"]
 #: FIT: message number of records, and the fields used: number -> (name, scale).
 FIT_RECORD = 20
 FIT_FIELDS = {253: ("time", 1.0), 0: ("latitude", 180 / 2**31), 1: ("longitude", 180 / 2**31), 3: ("heart_rate", 1.0), 5: ("distance", 1e-5), 7: ("power", 1.0)}
@@ -139,11 +140,14 @@ def _escaped(root: str) -> str:
     return re.escape(re.sub(r"^\w+:/*", "", root).strip("/"))
 
 
-def records(spark: SparkSession, root: str, derive_distance: bool = True, pattern: str = "*") -> DataFrame:
-    """(filename, seq, ts, latitude, longitude, distance, heart_rate, power) of all files below ``root``."""
+def records(spark: SparkSession, root: str, derive_distance: bool = True, pattern: str = "*", wanted: DataFrame | None = None) -> DataFrame:
+    """(filename, seq, ts, latitude, longitude, distance, heart_rate, power) of the files below ``root``, or of the ``filename`` of ``wanted`` among them."""
     decode = F.udf(lambda p, d: parse(p, bytes(d), derive_distance), RECORD, useArrow=False)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    files = files.where(F.lower("path").rlike(r"\.(gpx|tcx|fit)(\.gz)?$")).select(relative(F.col("path"), root).alias("filename"), decode("path", "content").alias("r"))
+    files = files.where(F.lower("path").rlike(r"\.(gpx|tcx|fit)(\.gz)?$")).select(relative(F.col("path"), root).alias("filename"), "path", "content")
+    if wanted is not None:
+        files = files.join(wanted.select("filename"), "filename", "left_semi")
+    files = files.select("filename", decode("path", "content").alias("r"))
     return files.select("filename", F.posexplode("r").alias("seq", "r")).select("filename", "seq", "r.*")
 
 
