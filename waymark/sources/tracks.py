@@ -142,7 +142,8 @@ def _escaped(root: str) -> str:
 
 def records(spark: SparkSession, root: str, derive_distance: bool = True, pattern: str = "*", wanted: DataFrame | None = None) -> DataFrame:
     """(filename, seq, ts, latitude, longitude, distance, heart_rate, power) of the files below ``root``, or of the ``filename`` of ``wanted`` among them."""
-    decode = F.udf(lambda p, d: parse(p, bytes(d), derive_distance), RECORD, useArrow=False)
+    # Said to be nondeterministic, so that no rule evaluates it twice or before files are chosen.
+    decode = F.udf(lambda p, d: parse(p, bytes(d), derive_distance), RECORD, useArrow=False).asNondeterministic()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     files = files.where(F.lower("path").rlike(r"\.(gpx|tcx|fit)(\.gz)?$")).select(relative(F.col("path"), root).alias("filename"), "path", "content")
     if wanted is not None:
