@@ -4,9 +4,10 @@ Test items are indexed by their words.  A posting's impact is its BM25 weight
 as a share of what the item needs: the least weight that a passage can hold
 and still pass verification, given how many words its missing shingles can
 hide.  So an item is retrieved at a score of 1, whatever its length, and no
-passage that verification would accept is missed.  Passages are
-overlapping windows, twice as long as the longest item of an index, so every
-copy of an item lies whole in one of them.  A window whose words' greatest
+passage that verification would accept is missed.  Passages are overlapping
+windows of three stretches, each as long as the longest item of an index, so
+a copy of an item lies whole in one of them even with as many words put into
+it as the longest item has.  A window whose words' greatest
 impacts sum to less than that in every range of items cannot hold an item and
 is left at once; the others run block-max WAND, which retrieves every item at
 or above it.  A retrieved item is then verified by five-word shingles: the
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import PLACE, placed, shared_table, without
 from waymark.llm.words import WORD, slices, tokens
 
 K1, B = 1.2, 0.75
@@ -185,7 +187,7 @@ class Index:
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
         sizes = np.array([len(w) for w in words])
         ids = np.fromiter(map(get, chain.from_iterable(words), repeat(0)), np.int64, int(sizes.sum()))
-        # Halves of windows: each text is cut into stretches of ``half`` words; two neighbours are a window.
+        # Each text is cut into stretches of ``half`` words; three neighbours are a window, or all of a shorter text.
         cuts = -(-sizes // half)
         text = np.repeat(np.arange(len(texts)), cuts)
         first = np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -207,13 +209,19 @@ class Index:
         for a in range(0, len(at), 4096):
             z = at[a + 4096] if a + 4096 < len(at) else len(term)
             sums[stretch[at[a : a + 4096]]] = np.add.reduceat(self.ranges[term[at[a] : z]], at[a : a + 4096] - at[a])
-        joined = np.append(text[1:] == text[:-1], False)
-        bound = sums[:-1] + np.where(joined[:, None], sums[1:], 0)
+        # Windows start at every stretch that two more follow, or at a text's first.
+        last = first + np.repeat(cuts, cuts) - 1
+        stop = np.minimum(np.arange(len(text)) + 2, last)
+        opens = (np.arange(len(text)) + 2 <= last) | (np.arange(len(text)) == first)
+        bound = sums[:-1].copy()
+        for ahead in (1, 2):
+            some = np.flatnonzero(np.arange(len(text)) + ahead <= last)
+            bound[some] += sums[some + ahead]
         at = np.append(at, len(term))
         spans = dict(zip(stretch[at[:-1]].tolist(), zip(at[:-1].tolist(), at[1:].tolist(), strict=True), strict=True))
-        for k in np.flatnonzero((bound >= RETRIEVE - 1e-3).any(axis=1)).tolist():
-            window = slice(ends[k], ends[k + 2] if joined[k] else ends[k + 1])
-            terms = np.unique(np.concatenate([term[slice(*spans.get(j, (0, 0)))] for j in (k, k + 1)[: 1 + joined[k]]]))
+        for k in np.flatnonzero(opens & (bound >= RETRIEVE - 1e-3).any(axis=1)).tolist():
+            window = slice(ends[k], ends[stop[k] + 1])
+            terms = np.unique(np.concatenate([term[slice(*spans.get(j, (0, 0)))] for j in range(k, int(stop[k]) + 1)]))
             if (self.ranges[terms].sum(axis=0) < RETRIEVE - 1e-3).all():
                 continue
             hits = self.wand(terms.tolist(), RETRIEVE)
@@ -271,28 +279,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    out = [rows.mapInArrow(searcher(indexes(b)), schema) for b in blocks(benchmark, item_col, item_text, most_words)]
-    result = out[0] if out else docs.sparkSession.createDataFrame([], schema)
-    for more in out[1:]:
-        result = result.unionByName(more)
+    # Each block's hits are written before the next block is read, so one index is with the driver at a time.
+    result = docs.sparkSession.createDataFrame([], schema)
+    for block in blocks(benchmark, item_col, item_text, most_words):
+        result = result.unionByName(shared_table(rows.mapInArrow(searcher(indexes(block)), schema), "leaks"))
     return result
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; nothing is joined."""
-    schema = docs.schema
-
-    def filterer(found: list[Index]):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in slices(batch, text_col):
-                    held = [False] * len(texts)
-                    for ix in found:
-                        held = [h or bool(x) for h, x in zip(held, ix.search(texts), strict=True)]
-                    yield part.filter(pa.array([not h for h in held]))
-
-        return run
-
-    for block in blocks(benchmark, item_col, item_text, most_words):
-        docs = docs.mapInArrow(filterer(indexes(block)), schema)
-    return docs
+    """The rows of ``docs`` that hold no item, with all their columns; those that do are left out where they lie."""
+    rows = placed(docs)
+    texts = rows.select(F.col(text_col).alias("text"), F.struct(*PLACE).alias("at"))
+    found = hits(texts, benchmark, "at", "text", item_col, item_text, most_words)
+    return without(rows, found.select("doc_id.*").distinct())

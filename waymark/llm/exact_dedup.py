@@ -6,10 +6,11 @@ with a position hit once is unique for certain and goes straight through; only
 the rest is shuffled by digest to find its group.  False positives of the
 filter only cost a shuffle of their slim row, never a wrong group.
 
-The filter has 16 bits a row.  Up to ``MAX_BROADCAST_BITS`` it is broadcast
-(its size is known before it is built); a larger one stays distributed and is
-probed by a sort-merge join on its 32768-bit blocks, which adaptive execution
-splits when one text makes up much of the table.
+The filter has 16 bits a row, but never more than ``MOST_BITS``, and is
+broadcast.  Only slim rows (id, digest) meet it.  Of a corpus so large that
+the filter fills up, more slim rows are shuffled than need be, up to all of
+them; the groups are the same.  Texts are never shuffled: ``keep_first`` marks
+the rows that go by their places in the files.
 
 Defined cases: a null text is the empty text; a null id sorts after all
 others; repeated rows are separate members of their group, and of rows that
@@ -21,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import SPACE, row_hash, shared_table
+from waymark.llm.common import BLOCK, PLACE, SPACE, bit, placed, release, row_hash, shared_table, without
 
-BLOCK = 32768
 BITS_PER_ROW = 16
-MAX_BROADCAST_BITS = 1 << 28
+#: 64 MB.
+MOST_BITS = 1 << 29
 
 
 def digest(text: Column) -> Column:
@@ -45,7 +46,7 @@ def repeated_filter(slim: DataFrame, sha: str, bits: int) -> DataFrame:
 
 def filter_bits(rows: int) -> int:
     bits = BLOCK
-    while bits < BITS_PER_ROW * rows:
+    while bits < min(BITS_PER_ROW * rows, MOST_BITS):
         bits *= 2
     return bits
 
@@ -53,12 +54,10 @@ def filter_bits(rows: int) -> int:
 def probe(df: DataFrame, sha: str, blocks: DataFrame, bits: int) -> DataFrame:
     """``df`` with __maybe: false only where the digest occurs once for certain."""
     for k, p in enumerate(_positions(F.col(sha), bits)):
-        side = blocks.select(F.col("blk").alias(f"__b{k}"), F.col("bitmap").alias(f"__m{k}"))
-        side = F.broadcast(side) if bits <= MAX_BROADCAST_BITS else side.hint("merge")
+        side = F.broadcast(blocks.select(F.col("blk").alias(f"__b{k}"), F.col("bitmap").alias(f"__m{k}")))
         df = df.withColumn(f"__p{k}", p).withColumn(f"__b{k}", F.floor(F.col(f"__p{k}") / BLOCK).cast("long")).join(side, f"__b{k}", "left")
-        byte = F.expr(f"cast(conv(hex(substring(__m{k}, cast(pmod(__p{k}, {BLOCK}) div 8 + 1 as int), 1)), 16, 10) as bigint)")
-        bit = F.getbit(byte, F.pmod(F.col(f"__p{k}"), F.lit(8)).cast("int"))
-        df = df.withColumn(f"__h{k}", F.coalesce(bit == 1, F.lit(False))).drop(f"__p{k}", f"__b{k}", f"__m{k}")
+        hit = F.coalesce(bit(F.col(f"__m{k}"), F.pmod(f"__p{k}", F.lit(BLOCK))), F.lit(False))
+        df = df.withColumn(f"__h{k}", hit).drop(f"__p{k}", f"__b{k}", f"__m{k}")
     return df.withColumn("__maybe", F.col("__h0") & F.col("__h1")).drop("__h0", "__h1")
 
 
@@ -85,19 +84,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Unique texts pass through without a shuffle.  Of the rest, whole rows are
-    combined within each task before the shuffle, so that a group of any size
-    sends one row for each task.
+    Groups are found over slim rows; the rows that go are then left out where
+    they lie, so no text is shuffled, whether it is unique or not.
     """
-    cols = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), digest(F.col(text_col)).alias("__sha"), F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col).isNull(), F.col(id_col), row_hash(docs)).alias("__rank"))
-    slim = shared_table(keyed.select("__sha"), "exact-sha")
+    rows = placed(docs)
+    rank = F.struct((-F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("len"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_hash(docs).alias("h"), *PLACE)
+    slim = shared_table(rows.select(digest(F.col(text_col)).alias("sha"), rank.alias("rank")), "exact-slim")
     bits = filter_bits(slim.count())
-    blocks = shared_table(repeated_filter(slim, "__sha", bits), "exact-filter")
-    probed = probe(keyed, "__sha", blocks, bits)
-    alone = probed.where("not __maybe").select("__row.*")
-    first = probed.where("__maybe").groupBy("__sha").agg(F.min_by("__row", "__rank").alias("__row"))
-    return alone.unionByName(first.select("__row.*"))
+    blocks = shared_table(repeated_filter(slim, "sha", bits), "exact-filter")
+    maybe = probe(slim, "sha", blocks, bits).where("__maybe").select("sha", "rank")
+    # Written, so that both sides of the join are plain shuffles, which adaptive execution splits at a hot group.
+    best = shared_table(maybe.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("best")).where("n > 1").select("sha", "best"), "exact-best")
+    gone = shared_table(maybe.join(best, "sha").where("rank <> best").select("rank.*").select(*PLACE), "exact-gone")
+    release(slim, blocks, best)
+    return without(rows, gone)
 
 
 ORACLE_SQL = r"""

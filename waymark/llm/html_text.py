@@ -6,6 +6,9 @@ math: descriptions, definitions, annotations), and writes
 all other text: blocks on lines of their own, paragraphs, headings, lists and
 tables apart by an empty line, list items with their bullet or number and
 indented, preformatted text as it is, and table cells in aligned columns.
+Cells that span columns or rows take their places in the grid; running text in
+a cell is wrapped, and a line that is wider than any column may be stands
+alone, the cells beside it on the next line, so no cell is ever out of line.
 Navigation and other boilerplate is visible and stays.
 
 Defined cases: a null or empty page gives an empty text; a tag that never ends
@@ -15,6 +18,7 @@ page; repeated rows are each rendered; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -27,7 +31,8 @@ from waymark.llm.words import slices
 
 _MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>"']|["'])*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_HIDE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 
 #: The element sets of the HTML standard that layout needs.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,8 +65,9 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html button object template".split())
-#: A wider column is not padded, so that one long cell does not widen every row.
-WIDEST = 60
+#: Running text in a cell is wrapped at so many characters; no column is padded beyond ``WIDEST``.
+WRAP = 100
+WIDEST = 400
 
 
 class Node:
@@ -181,22 +187,45 @@ def visible(node: Node) -> bool:
     return not ("style" in node.attrs and _HIDE.search(node.attrs["style"]))
 
 
+def sight(node: Node, inherited: bool) -> bool:
+    """Whether text of the node shows: its own visibility, or what it inherits."""
+    found = _SEEN.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def wrapped(line: str, width: int) -> list[str]:
+    """A line in pieces of at most ``width`` characters, parted at blanks; a longer word is a piece of its own."""
+    if len(line) <= width:
+        return [line]
+    lead = line[: len(line) - len(line.lstrip())]
+    out, now = [], lead
+    for word in line.split():
+        if len(now) + len(word) + 1 > width and now.strip():
+            out.append(now)
+            now = lead
+        now += word if not now.strip() else " " + word
+    return [*out, now]
+
+
 class Flow:
-    """Lines of text; gap is how many line ends are due before the next text."""
+    """Lines of text; gap is how many line ends are due before the next text; running text is wrapped at ``width``."""
 
-    def __init__(self):
+    def __init__(self, width: int | None = None):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.blank = False
         self.gap = 0
         self.indents: list[str] = []
         self.marker: str | None = None
+        self.width, self.raw = width, False
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
+            self.raw = True
             for k, part in enumerate(s.expandtabs().split("\n")):
                 if k:
                     self.flush(True)
+                    self.raw = True
                 if part:
                     self.put(part)
             return
@@ -221,8 +250,10 @@ class Flow:
             lead = "".join(self.indents)
             if self.marker is not None and self.line:
                 lead, self.marker = "".join(self.indents[:-1]) + self.marker, None
-            self.lines.append((lead + "".join(self.line)).rstrip())
+            line = (lead + "".join(self.line)).rstrip()
+            self.lines += [line] if self.raw or not self.width else wrapped(line, self.width)
             self.line = []
+        self.raw = False
 
     def block(self, gap: int) -> None:
         self.flush()
@@ -230,57 +261,107 @@ class Flow:
 
     def rows(self, lines: list[str]) -> None:
         for x in lines:
+            self.raw = True
             if x:
                 self.put(x)
             self.flush(True)
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """The lines of table rows of (lines of a cell, columns it spans), columns aligned."""
-    widths: dict[int, int] = {}
-    for row in rows:
+class Cell:
+    __slots__ = ("lines", "across", "down", "col")
+
+    def __init__(self, lines: list[str], across: int = 1, down: int = 1):
+        self.lines, self.across, self.down, self.col = lines, across, down, 0
+
+
+def place(rows: list[tuple[int, list[Cell]]]) -> None:
+    """Gives each cell its column: the first that no cell of the row or of rows above holds; spans end with their row group."""
+    until: dict[int, float] = {}
+    last = None
+    for r, (group, cells) in enumerate(rows):
+        if group != last:
+            until, last = {}, group
         col = 0
-        for lines, span in row:
-            if span == 1:
-                widths[col] = max(widths.get(col, 0), min(WIDEST, max(map(len, lines), default=0)))
-            col += span
+        for cell in cells:
+            while until.get(col, 0) > r:
+                col += 1
+            cell.col = col
+            end = r + cell.down if cell.down else float("inf")
+            for c in range(col, col + cell.across):
+                until[c] = max(until.get(c, 0), end)
+            col += cell.across
+
+
+def aligned(rows: list[tuple[int, list[Cell]]]) -> list[str]:
+    """The lines of table rows of (row group, cells), columns aligned."""
+    place(rows)
+    cells = [c for _, row in rows for c in row]
+    widths: dict[int, int] = {}
+    wide = lambda c: min(WIDEST, max(map(len, c.lines), default=0))
+    for c in cells:
+        if c.across == 1:
+            widths[c.col] = max(widths.get(c.col, 0), wide(c))
+    # Two blanks part columns; those without text take no room.
+    room = lambda a, z: sum(w + 2 for w in (widths.get(k, 0) for k in range(a, z)) if w)
+    for c in sorted((c for c in cells if c.across > 1), key=lambda c: c.across):
+        short = wide(c) + 2 - room(c.col, c.col + c.across)
+        if wide(c) and short > 0:
+            last = c.col + c.across - 1
+            widths[last] = widths.get(last, 0) + (short if widths.get(last) else short - 2)
+    starts, at = {}, 0
+    for k in sorted(widths):
+        starts[k] = at
+        at += widths[k] + 2 if widths[k] else 0
+    known = sorted(starts)
+
+    def start(col: int) -> int:
+        k = bisect.bisect_left(known, col)
+        return starts[known[k]] if k < len(known) else at
+
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, col = "", 0
-            for lines, span in row:
-                width = sum(widths.get(c, 0) for c in range(col, col + min(span, 64))) + 2 * (min(span, 64) - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(width) + "  "
-                col += span
+    for _, row in rows:
+        places = [start(c.col) for c in row]
+        for k in range(max((len(c.lines) for c in row), default=0)):
+            line = ""
+            for c, left in zip(row, places, strict=True):
+                if k < len(c.lines) and c.lines[k]:
+                    if line and len(line) > left - 2:
+                        out.append(line.rstrip())
+                        line = ""
+                    line = line.ljust(left) + c.lines[k]
             out.append(line.rstrip())
     return out
 
 
-def _span(node: Node) -> int:
-    value = node.attrs.get("colspan", "1").strip()
-    return min(1000, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+def _span(node: Node, name: str, least: int, most: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(most, max(least, int(value))) if value.isascii() and value.isdigit() and len(value) < 7 else 1
 
 
 def render(root: Node) -> str:
     flow = Flow()
     flows: list[Flow] = []
     tables: list[list] = []
+    groups: list[int] = []
     lists: list[list] = []
     pre = 0
+    seen = [True]
     todo: list[tuple[Node | str, bool]] = [(root, True)]
     while todo:
         node, enter = todo.pop()
         if isinstance(node, str):
-            flow.text(node, pre > 0)
+            if seen[-1]:
+                flow.text(node, pre > 0)
             continue
         tag = node.tag
         if not enter:
             pre -= tag in PRE
             if tag in ("td", "th") and tables:
                 flow.flush()
-                tables[-1][-1].append(([x for x in flow.lines if x], _span(node)))
+                tables[-1][-1][1].append(Cell([x for x in flow.lines if x], _span(node, "colspan", 1, 1000), _span(node, "rowspan", 0, 65534)))
                 flow = flows.pop()
             elif tag == "table":
+                groups.pop()
                 flow.block(2)
                 flow.rows(aligned(tables.pop()))
                 flow.block(2)
@@ -293,18 +374,20 @@ def render(root: Node) -> str:
                 flow.marker = None
             elif tag in BLOCK:
                 flow.block(2 if tag in APART else 1)
-            elif tag == "q":
+            elif tag == "q" and seen[-1]:
                 flow.text('"', False)
+            seen.pop()
             continue
         if not visible(node):
             continue
+        shown = sight(node, seen[-1])
         if tag == "br":
             flow.flush(True)
             continue
         if tag == "wbr" or tag in VOID and tag not in ("hr", "input"):
             continue
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attrs.get("value"):
+            if shown and node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attrs.get("value"):
                 flow.text(node.attrs["value"], False)
             continue
         if tag == "hr":
@@ -313,13 +396,16 @@ def render(root: Node) -> str:
         if tag == "table":
             flow.block(2)
             tables.append([])
+            groups.append(0)
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            groups[-1] += 1
         elif tag == "tr" and tables:
-            tables[-1].append([])
+            tables[-1].append((groups[-1], []))
         elif tag in ("td", "th") and tables:
             if not tables[-1]:
-                tables[-1].append([])
+                tables[-1].append((groups[-1], []))
             flows.append(flow)
-            flow = Flow()
+            flow = Flow(WRAP)
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.block(2 if not lists else 1)
             start = node.attrs.get("start", "1")
@@ -331,15 +417,16 @@ def render(root: Node) -> str:
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             flow.indents.append(" " * len(mark))
-            flow.marker = mark
+            flow.marker = mark if shown else None
         elif tag in ("dd", "blockquote"):
             flow.block(2 if tag == "blockquote" else 1)
             flow.indents.append("  ")
         elif tag in BLOCK:
             flow.block(2 if tag in APART else 1)
-        elif tag == "q":
+        elif tag == "q" and shown:
             flow.text('"', False)
         pre += tag in PRE
+        seen.append(shown)
         todo.append((node, False))
         todo.extend((c, True) for c in reversed(node.children))
     flow.flush()

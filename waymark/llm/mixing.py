@@ -8,12 +8,15 @@ knapsack dynamic programming (a bit set of the reachable sums) over the last
 few thousand words, and over second and third copies where single documents
 cannot fill the budget.  The documents of a length are then taken in the order of
 a seeded hash: a threshold hash for each source and length, found in two
-levels, so that neither a hot source nor a hot length meets in one task.
+levels, so that neither a hot source nor a hot length meets in one task.  All
+of this goes over slim rows (source, length, hash, place); ``mixed_rows`` then
+marks the rows where they lie, and no text is shuffled.
 
 Defined cases: a null text has size 0; null is a source like any other and
 comes last; a source without words has target 0 and nothing is taken from it;
 rows that repeat an id share its hash, and where the threshold falls on them
-any of these equal rows may be taken; an empty table gives an empty result.
+the least hashes of whole rows are taken, and of equal rows the first places;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import shared_table
+from waymark.llm.common import PLACE, marked, placed, row_hash, shared_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Above this many words, the remaining budget is taken greedily, below it by dynamic programming.
 DP_WORDS = 1 << 13
-SUB_BUCKETS = 256
-#: Thresholds are one row for a source and length; beyond so many they are joined by shuffle.
-MAX_BROADCAST_ROWS = 500_000
+#: A hash bucket of the first level holds so many documents at most, if they are spread evenly.
+BUCKET_ROWS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -138,14 +140,15 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     return targets, fitted
 
 
-def thresholds(slim: DataFrame, fitted: DataFrame, sub_buckets: int = SUB_BUCKETS) -> DataFrame:
+def thresholds(slim: DataFrame, fitted: DataFrame) -> DataFrame:
     """(t_source, t_size, times, h_top, id_top, ties, all_ties), a row for each fitted source and length.
 
     All its rows are taken ``times`` times more, those below (h_top, id_top)
     once more, and of those equal to it so many as ties says.
     """
     same = lambda a, b, *more: reduce(lambda x, c: x & (a[c] == b[c]), more, a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"]))
-    cut = slim.withColumn("hb", F.floor((F.col("h") / 2.0**64 + 0.5) * sub_buckets).cast("int"))
+    buckets = max(256, -(-slim.count() // BUCKET_ROWS))
+    cut = slim.withColumn("hb", F.floor((F.col("h") / 2.0**64 + 0.5) * buckets).cast("int"))
     # Of a length taken whole the last hash is the threshold, too; all lengths go one way.
     cells = cut.groupBy("source", "size", "hb").agg(F.count(F.lit(1)).alias("c"))
     cells = cells.join(part := fitted.where("extra > 0"), same(cells, part)).select(cells.source, cells.size, "hb", "c", "extra")
@@ -158,42 +161,44 @@ def thresholds(slim: DataFrame, fitted: DataFrame, sub_buckets: int = SUB_BUCKET
     return fitted.join(tops, same(fitted, tops), "left").select(fitted.source.alias("t_source"), fitted.size.alias("t_size"), "times", "h_top", "id_top", "ties", "all_ties")
 
 
-def _decide(rows: DataFrame, targets: DataFrame, tops: DataFrame, tie_order: Column) -> DataFrame:
-    """``rows`` (__source, __size, __h, __id and others) with __target, __source_size and __copies."""
-    targets = F.broadcast(targets.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__base")))
-    tops = F.broadcast(tops) if tops.count() <= MAX_BROADCAST_ROWS else tops
-    out = rows.join(targets, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    out = out.join(tops, F.col("__source").eqNullSafe(F.col("t_source")) & (F.col("__size") == F.col("t_size")), "left").drop("t_source", "t_size")
-    after = F.struct(F.col("__id").isNull(), F.col("__id"))
-    top = F.struct(F.col("id_top").isNull(), F.col("id_top"))
-    tied = (F.col("__h") == F.col("h_top")) & after.eqNullSafe(top)
-    below = (F.col("__h") < F.col("h_top")) | ((F.col("__h") == F.col("h_top")) & (after < top))
-    out = out.withColumn("__tied", F.coalesce(tied & ~F.col("all_ties"), F.lit(False))).withColumn("__more", F.coalesce(below | tied, F.lit(False)).cast("int"))
-    free = out.where("not __tied")
-    rank = F.row_number().over(Window.partitionBy("__source", "__size", "__h", "__id").orderBy(tie_order))
-    held = out.where("__tied").withColumn("__more", (rank <= F.col("ties")).cast("int"))
-    return free.unionByName(held).withColumn("__copies", F.coalesce(F.col("__base"), F.lit(0)) + F.coalesce(F.col("times"), F.lit(0)) + F.col("__more")).drop("times", "h_top", "id_top", "ties", "all_ties", "__tied", "__more", "__base")
-
+def _decide(rows: DataFrame, targets: DataFrame, tops: DataFrame) -> DataFrame:
+    """Slim rows (source, size, h, id, tie) with target, source_size and copies.
 
-def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, size: Column | None = None) -> DataFrame:
-    size = words(F.col(text_col)) if size is None else size
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+    Targets are one row for each source.  The thresholds meet the rows in a
+    plain join; adaptive execution splits it where a source and length is hot.
+    """
+    targets = F.broadcast(targets.select(F.col("source").alias("s"), "source_size", "target", F.col("copies").alias("base")))
+    out = rows.join(targets, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    out = out.join(tops, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("size") == F.col("t_size")), "left").drop("t_source", "t_size")
+    after = F.struct(F.col("id").isNull(), F.col("id"))
+    top = F.struct(F.col("id_top").isNull(), F.col("id_top"))
+    tied = (F.col("h") == F.col("h_top")) & after.eqNullSafe(top)
+    below = (F.col("h") < F.col("h_top")) | ((F.col("h") == F.col("h_top")) & (after < top))
+    out = out.withColumn("tied", F.coalesce(tied & ~F.col("all_ties"), F.lit(False))).withColumn("more", F.coalesce(below | tied, F.lit(False)).cast("int"))
+    free = out.where("not tied")
+    rank = F.row_number().over(Window.partitionBy("source", "size", "h", "id").orderBy("tie", *PLACE))
+    held = out.where("tied").withColumn("more", (rank <= F.col("ties")).cast("int"))
+    copies = F.coalesce(F.col("base"), F.lit(0)) + F.coalesce(F.col("times"), F.lit(0)) + F.col("more")
+    return free.unionByName(held).withColumn("copies", copies.cast("long")).drop("times", "h_top", "id_top", "ties", "all_ties", "tied", "more", "base")
+
+
+def _mixed(rows: DataFrame, tie: Column, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, seed: int) -> DataFrame:
+    """The decisions for rows with a place."""
+    slim = rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), tie.alias("tie"), *PLACE)
+    slim = shared_table(slim, "mix-slim")
+    targets, fitted = plan(slim, weights, share)
+    return _decide(slim, targets, shared_table(thresholds(slim, fitted), "mix-tops"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, seed: int = 7) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken), a row for each row of ``docs``."""
-    slim = shared_table(_slim(docs, id_col, text_col, source_col, seed), "mix-slim")
-    targets, fitted = plan(slim, weights, share)
-    tops = shared_table(thresholds(slim, fitted), "mix-tops")
-    rows = slim.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("h").alias("__h"))
-    out = _decide(rows, targets, tops, F.lit(1))
-    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source").alias("source"), F.coalesce("__source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("__target", F.lit(0.0)).alias("target"), F.col("__copies").alias("copies"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    out = _mixed(placed(docs), row_hash(docs), id_col, text_col, source_col, weights, share, seed)
+    return out.select(F.col("id").alias("doc_id"), "size", "source", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns, __size and __copies (1 to 3 times a row)."""
-    slim = shared_table(_slim(docs, id_col, text_col, source_col, seed), "mix-slim")
-    targets, fitted = plan(slim, weights, share)
-    tops = shared_table(thresholds(slim, fitted), "mix-tops")
-    key = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), words(F.col(text_col)).alias("__size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__h"))
-    return _decide(key, targets, tops, F.xxhash64("__id")).where("__copies > 0").select("__row.*", "__size", "__copies")
+    rows = placed(docs)
+    out = _mixed(rows, row_hash(docs), id_col, text_col, source_col, weights, share, seed)
+    taken = marked(rows, out.select(*PLACE, F.col("copies").alias("__copies")), "__copies", bits=2).where("__copies > 0")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], words(F.col(text_col)).alias("__size"), F.col("__copies").cast("long").alias("__copies"))

@@ -11,11 +11,15 @@ weighted Jaccard.  ``BANDS`` bands of the signature propose candidates: at
 0.8 a pair shares none with a probability of 5e-8.
 
 Texts with equal words collapse to one representative first.  A bucket's
-members are then compared with each other exactly, over all shingles, where
-they lie: a bucket is cut into blocks of bounded size, each pair of blocks is
-a cell, and a cell's comparisons are products of its incidence matrix.  No
-pair becomes a row; a cell gives the links of a spanning forest, at most one
-for each member, and components of the links are the classes.
+members are then compared with each other exactly, over all shingles (64-bit
+hashes of them), where they lie.  A bucket of bounded size is one cell, whose
+comparisons are products of its incidence matrix.  In a larger one every
+member first meets a few leaders, one at a time, in rows; what these links
+leave apart from the bucket's main part then meets all its members in cells
+of bounded size.  So the near copies of one text, however many, cost so many
+comparisons, and only texts that share a bucket without a link cost pairs.
+No pair becomes a row; a cell gives the links of a spanning forest, at most
+one for each member, and components of the links are the classes.
 
 Defined cases: a null or empty text, or one without words, is a class of its
 own; a text of one to four words is one shingle; repeated rows are members of
@@ -32,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm import exact_dedup
-from waymark.llm.common import row_hash, shared_table
+from waymark.llm.common import PLACE, marked, placed, release, row_hash, shared_table, without
 from waymark.llm.words import Hashes, U, hashed, mix, slices
+from waymark.operators import graph
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -43,6 +47,8 @@ BANDS = 32
 #: A block of a bucket holds about so many texts, and so many shingles, at most.
 BLOCK_TEXTS = 1000
 BLOCK_SHINGLES = 400_000
+#: How many leaders the members of a large bucket meet, one after the other.
+LEADERS = 3
 _STEP = U(0x9E3779B97F4A7C15)
 
 
@@ -109,8 +115,8 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, row in zip(some, band_keys(signatures([sets[k] for k in some])), strict=True):
                     bands[k] = row
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("th"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "th", "key", "weight", "bands"],
+                [part.column("doc_id"), part.column("at"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "at", "key", "weight", "bands"],
             )
 
 
@@ -126,27 +132,8 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batch):
             words = [hashed(t, cache) for t in texts]
             keys = [None if not len(w) else _key(w) for w in words]
-            sets = [(regions(w) >> U(32)).astype(np.uint32).view(np.int32) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["key", "shingles"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the edges (a, b): comp is the least node of a component.
-
-    Each round takes the least label around a node and then that label's own
-    label, so that the rounds grow with the logarithm of a chain.  Tables stay
-    distributed; only a count comes back.
-    """
-    both = shared_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
-    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "near-labels")
-    while True:
-        around = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(around, "node").select("node", F.least("comp", "near").alias("hook"), "comp")
-        jump = labels.select(F.col("node").alias("hook"), F.col("comp").alias("further"))
-        new = shared_table(hooked.join(jump, "hook").select("node", F.least("hook", "further").alias("comp"), (F.least("hook", "further") < F.col("comp")).alias("moved")), "near-labels")
-        labels = new.select("node", "comp")
-        if not new.where("moved").limit(1).count():
-            return labels
+            sets = [regions(w).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
 
 def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
@@ -186,6 +173,12 @@ def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> list[
     return links
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    ends = ends - ends[0]
+    return [values[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of their cells; a cell may reach over batches."""
     held: list[tuple] = []
@@ -196,47 +189,113 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        lists = batch.column("shingles")
-        values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        ends = ends - ends[0]
-        for k, (band, i, j, key, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "key", "block")), strict=True)):
-            if (band, i, j) != cell:
+        sets = _lists(batch.column("shingles"))
+        for values, here, key, side in zip(sets, zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True), *(batch.column(c).to_pylist() for c in ("key", "side")), strict=True):
+            if here != cell:
                 yield links()
-                held, cell = [], (band, i, j)
-            held.append((key, block, values[ends[k] : ends[k + 1]].copy()))
+                held, cell = [], here
+            held.append((key, side, values.copy()))
     yield links()
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives, enough to connect every class."""
-    reps = shared_table(sketches.where("key is not null").groupBy("key").agg(F.min_by(F.struct("th", "weight", "bands"), "th").alias("r")).select("key", "r.*"), "near-reps")
-    rows = reps.select("key", "weight", F.explode("bands").alias("band"))
+def _cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the cells (band, i, j, key, side)."""
+    ordered = cells.join(sets, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.select("band", "i", "j", "key", "side", "shingles").mapInArrow(_compare, "a binary, b binary").distinct()
+
+
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y) those whose texts are similar."""
+    for batch in batches:
+        near = []
+        for x, y in zip(_lists(batch.column("x")), _lists(batch.column("y")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= SIMILAR * (len(x) + len(y) - both) - 1e-9)
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def _parts(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the part of the graph that the links so far put each in."""
+    comp = graph.components(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), found)
+    return members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Further links of the buckets of more than one block: by leaders, then among what these leave apart.
+
+    Members: (band, key, blocks).  Each leader is the least member of a part
+    that is not the bucket's main one any more, or at first of the bucket.
+    """
+    for k in range(LEADERS):
+        state = shared_table(_parts(members, found), "near-parts")
+        parts = shared_table(state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")), "near-sizes")
+        main = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp", "lead")).alias("main"), F.max(F.struct(F.xxhash64(F.lit(k), "lead"), F.col("lead").alias("lead"), F.col("comp").alias("comp"))).alias("any"))
+        # The main part leads first; later leaders come from any part.
+        lead = F.col("main") if k == 0 else F.col("any")
+        leaders = main.where("parts > 1").select("band", lead["lead"].alias("a"), lead["comp"].alias("__c"))
+        pairs = state.join(leaders, "band").where("comp <> __c").select("a", F.col("key").alias("b")).distinct()
+        pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+        more = shared_table(pairs.select("a", "b", "x", "y").mapInArrow(_meet, "a binary, b binary"), "near-led")
+        release(parts)
+        if not more.limit(1).count():
+            break
+        found = shared_table(found.unionByName(more), "near-links")
+    # Of each bucket the members apart from the main part meet each other and the main part.
+    state = shared_table(_parts(members, found), "near-parts")
+    sizes = shared_table(state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
+    whole = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).select("band", F.col("main.comp").alias("main"), (F.col("all") - F.col("main.n")).alias("rest"), "all").where("rest > 0")
+    rows = state.join(whole, "band").withColumn("apart", F.col("comp") != F.col("main"))
+    share = lambda n: F.ceil(F.col("blocks") * n / F.col("all")).cast("int")
+    rows = rows.withColumn("k_rest", share(F.col("rest"))).withColumn("k_main", share(F.col("all") - F.col("rest")))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("apart"), F.col("k_rest")).otherwise(F.col("k_main"))).cast("int")
+    rows = rows.withColumn("block", block)
+    seats = lambda k, f: F.transform(F.sequence(F.lit(0), F.col(k) - 1), f)
+    seat = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    b = F.col("block")
+    each = seats("k_rest", lambda c: seat(F.least(b, c), F.greatest(b, c), b))
+    # Blocks of the main part are numbered behind those of the rest, from -1 down.
+    across = F.when(F.col("apart"), F.concat(each, seats("k_main", lambda c: seat(b, -1 - c, F.lit(0))))).otherwise(seats("k_rest", lambda c: seat(c, -1 - b, F.lit(1))))
+    cells = rows.select("band", "key", F.explode(across).alias("s")).select("band", "key", "s.*")
+    return found.unionByName(_cells(cells, sets))
+
+
+def links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives, enough to connect every class; ``rows`` are (text, ``PLACE``)."""
+    reps = shared_table(sketches.where("key is not null").groupBy("key").agg(F.min_by(F.struct("at", "weight", "bands"), "at").alias("r")).select("key", "r.*"), "near-reps")
+    held = reps.select("key", "weight", F.explode("bands").alias("band"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     # Buckets of the same members are compared once: two hashes over the members tell them apart.
     same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
-    buckets = rows.groupBy("band").agg(*same, blocks).where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
+    buckets = held.groupBy("band").agg(*same, blocks).where("n > 1").groupBy("n", "x", "y").agg(F.min("band").alias("band"), F.max("blocks").alias("blocks"))
     buckets = shared_table(buckets.select("band", "blocks"), "near-buckets")
-    members = shared_table(rows.join(buckets, "band").select("band", "key", "blocks"), "near-members")
-    # Second reading of the texts: a Bloom filter leaves those of the representatives that some bucket holds.
-    wanted = members.select("key").distinct().join(reps.select("key", "th"), "key").select("key", F.col("th").cast("string").alias("__sha"))
-    wanted = shared_table(wanted, "near-wanted")
-    bits = exact_dedup.filter_bits(wanted.count())
-    marks = wanted.select("__sha")
-    bloom = shared_table(exact_dedup.repeated_filter(marks.unionAll(marks), "__sha", bits), "near-filter")
-    text = docs.select(F.xxhash64("text").cast("string").alias("__sha"), "text")
-    sets = exact_dedup.probe(text, "__sha", bloom, bits).where("__maybe").select("text").mapInArrow(_sets, "key binary, shingles array<int>")
-    sets = shared_table(sets.where("key is not null").groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted.select("key"), "key", "left_semi"), "near-sets")
-    # Block b of a bucket meets each block c in the cell (least, greatest).
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    cells = members.withColumn("block", block).select("key", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
-    cells = cells.select("key", "band", F.least("block", "c").alias("i"), F.greatest("block", "c").alias("j"), "block").join(sets, "key")
-    ordered = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return shared_table(ordered.select("band", "i", "j", "key", "block", "shingles").mapInArrow(_compare, "a binary, b binary").distinct(), "near-links")
-
-
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): doc_id, th, key, weight and bands of each row."""
-    return shared_table(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, key binary, weight long, bands array<long>"), "near-sketches")
+    members = shared_table(held.join(buckets, "band").select("band", "key", "blocks"), "near-members")
+    # Second reading of the texts: only those of the representatives that some bucket holds leave the scan.
+    wanted = members.select("key").distinct().join(reps.select("key", "at"), "key").select("at.*").withColumn("want", F.lit(1))
+    texts = marked(rows, wanted, "want").where("want = 1").select("text")
+    sets = shared_table(texts.mapInArrow(_sets, "key binary, shingles array<long>"), "near-sets")
+    zero = F.lit(0)
+    small = members.where("blocks = 1").select("band", zero.alias("i"), zero.alias("j"), "key", zero.alias("side"))
+    found = shared_table(_cells(small, sets), "near-links")
+    large = members.where("blocks > 1")
+    if large.limit(1).count():
+        found = shared_table(_large(large, sets, found).distinct(), "near-links")
+    release(reps, buckets, members, sets)
+    return found
+
+
+def _sketches(rows: DataFrame) -> DataFrame:
+    """Of (doc_id, text, ``PLACE``): doc_id, at (the place), key, weight and bands of each row."""
+    slim = rows.select("doc_id", "text", F.struct(*PLACE).alias("at"))
+    kind = {c: slim.schema[c].dataType.simpleString() for c in ("doc_id", "at")}
+    return shared_table(slim.mapInArrow(_sketch, f"doc_id {kind['doc_id']}, at {kind['at']}, key binary, weight long, bands array<long>"), "near-sketches")
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """(doc_id, at, key, comp) of the rows that have words; comp is null for texts without links."""
+    sketches = _sketches(rows)
+    found = links(rows.select("text", *PLACE), sketches)
+    comp = graph.components(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), found)
+    return shared_table(sketches.select("doc_id", "at", "key").join(comp.select(F.col("node").alias("key"), "comp"), "key", "left"), "near-rows")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,46 +304,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     class_id: the least doc_id of the class (null if all are); n_texts: how many different texts
     (by words) the class holds.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = _sketches(docs)
-    comp = shared_table(components(links(docs, sketches)), "near-comp").withColumnRenamed("node", "key")
-    rows = sketches.select("doc_id", "key")
-    rows = rows.where("key is not null").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    rows = shared_table(rows, "near-rows")
-    found = rows.groupBy("comp", "key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    rows = _classed(placed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    known = rows.where("key is not null").withColumn("comp", F.coalesce("comp", "key"))
+    found = known.groupBy("comp", "key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     found = shared_table(found.groupBy("comp").agg(F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size"), F.count(F.lit(1)).alias("n_texts")), "near-found")
     cols = ["doc_id", "class_id", "class_size", "n_texts"]
     one = F.lit(1).cast("long")
-    bare = sketches.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("n_texts"))
-    return rows.join(found, "comp").select(cols).unionByName(bare)
+    bare = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), one.alias("class_size"), one.alias("n_texts"))
+    return known.join(found, "comp").select(cols).unionByName(bare)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns.
 
     The row with the least (id, hash of all columns) stays; texts without
-    words all stay.  Rows equal in every column are one row.
+    words all stay.  Rows equal in every column are one row, but for those
+    without words.  The rows that go are left out where they lie.
     """
-    cols = docs.columns
-    slim = docs.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), row_hash(docs).alias("h")).alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = _sketches(slim)
-    comp = shared_table(components(links(slim, sketches)), "near-comp").withColumnRenamed("node", "key")
-    rows = sketches.where("key is not null").select("doc_id", "key").join(comp, "key", "left")
-    found = rows.groupBy(F.coalesce("comp", "key").alias("comp")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = shared_table(rows.withColumn("comp", F.coalesce("comp", "key")), "near-rows")
-    found = shared_table(found.where("n > 1"), "near-found")
-    # Only the rows that go, and those that stay but are repeated, are carried to the texts, by a Bloom filter first; most rows pass it without a shuffle.
-    judged = rows.join(found, "comp").select("comp", F.col("doc_id").alias("at"), (F.col("doc_id") != F.col("first")).alias("goes"))
-    judged = judged.groupBy("at", "goes").agg(F.count(F.lit(1)).alias("n")).where("goes or n > 1")
-    gone = shared_table(judged.select(F.col("at.h").alias("__h"), F.col("at.i").alias("__i"), "goes"), "near-gone")
-    key = lambda: F.concat_ws(":", F.col("__h").cast("string"), F.col("__i").cast("string"))
-    bits = exact_dedup.filter_bits(gone.count())
-    marks = gone.select(key().alias("__sha"))
-    blocks = shared_table(exact_dedup.repeated_filter(marks.unionAll(marks), "__sha", bits), "near-filter")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__row"), row_hash(docs).alias("__h"), F.col(id_col).alias("__i")).withColumn("__sha", key())
-    probed = exact_dedup.probe(keyed, "__sha", blocks, bits)
-    clear = probed.where("not __maybe").select("__row.*")
-    held = probed.where("__maybe").join(gone.select("goes", F.col("__h").alias("__gh"), F.col("__i").alias("__gi")), (F.col("__h") == F.col("__gh")) & F.col("__i").eqNullSafe(F.col("__gi")), "left")
-    single = held.where("goes is null").select("__row.*")
-    repeated = held.where("not goes").groupBy("__h", "__i").agg(F.first("__row").alias("__row"))
-    return clear.unionByName(single).unionByName(repeated.select("__row.*"))
+    rows = placed(docs)
+    rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), row_hash(docs).alias("h"), *PLACE)
+    known = _classed(rows.select(rank.alias("doc_id"), F.col(text_col).alias("text"), *PLACE)).where("key is not null")
+    known = known.select(F.coalesce("comp", "key").alias("comp"), F.col("doc_id").alias("rank"))
+    first = shared_table(known.groupBy("comp").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first"), "near-first")
+    gone = shared_table(known.join(first, "comp").where("rank <> first").select("rank.*").select(*PLACE), "near-gone")
+    return without(rows, gone)

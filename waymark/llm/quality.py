@@ -8,9 +8,10 @@ unlabelled text ranks both, and among its highest scores the share of
 unlabelled rows for each positive one bounds the share of positives; the bin is the one
 with the least upper confidence bound.
 
-The network is fitted on a bounded sample, ``MOST_POSITIVE`` and
-``MOST_UNLABELLED`` texts, of which the statistics, not the texts, come to the
-driver.  All texts are scored whole.
+The statistics of all texts are worked out once, whole, and written; the rest
+reads only these.  Both networks are fitted on a bounded sample,
+``MOST_POSITIVE`` and ``MOST_UNLABELLED`` rows; the prior's shares of
+unlabelled rows are counted over all of them.
 
 Defined cases: a null text is the empty text and is scored like any other;
 without positives or unlabelled text every score is 0.5; a document with
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import crc_mod, held_out
+from waymark.llm.common import PLACE, crc_mod, held_out, placed, shared_table, without
 from waymark.llm.sampling import bounded
 from waymark.llm.words import slices
 
@@ -145,92 +146,126 @@ def _fit(pos: np.ndarray, unl: np.ndarray, slope, seed: int, epochs: int = EPOCH
     return net
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 1) -> float:
-    """The share of positives among unlabelled rows, by the best bin of a held-back half."""
+def ranker(pos: np.ndarray, unl: np.ndarray, seed: int = 1) -> Network:
+    """A network that tells positives from unlabelled rows, from every other row."""
     def plain(zp, zu):
         return (_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2
 
-    net = _fit(pos[::2], unl[::2], plain, seed, epochs=60)
-    zp, zu = np.sort(net.logits(pos[1::2])), np.sort(net.logits(unl[1::2]))
-    if not len(zp) or not len(zu):
-        return 0.5
+    return _fit(pos[::2], unl[::2], plain, seed, epochs=60)
+
+
+def best_bin(zp: np.ndarray, cuts: np.ndarray, above: np.ndarray, rows: int) -> float:
+    """The share of positives, from held-back positives and how many of the unlabelled rows score at least each cut."""
     best, found = math.inf, 1.0
-    for q in np.linspace(0.02, 0.98, 97):
+    for z, n in zip(cuts, above, strict=True):
         # Share of each above a threshold, with a margin for chance.
-        z = np.quantile(zp, q)
-        p, u = (zp >= z).mean(), (zu >= z).mean()
-        margin = (math.log(40) / 2) ** 0.5 * (len(zu) ** -0.5 + len(zp) ** -0.5)
-        if p > 4 * margin:
-            if (u + margin) / p < best:
-                best, found = (u + margin) / p, u / p
+        p, u = (zp >= z).mean(), n / rows
+        margin = (math.log(40) / 2) ** 0.5 * (rows**-0.5 + len(zp) ** -0.5)
+        if p > 4 * margin and (u + margin) / p < best:
+            best, found = (u + margin) / p, u / p
     return float(min(max(found, 0.05), 0.98))
 
 
+def cuts_of(zp: np.ndarray) -> np.ndarray:
+    return np.quantile(zp, np.linspace(0.02, 0.98, 97))
+
+
 class Model:
-    def __init__(self, pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: int = 5):
-        self.net = None
+    """Scores of statistics; ``net`` is None where there is nothing to learn from."""
+
+    def __init__(self, pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 5):
+        self.prior, self.net = prior, None
         if len(pos) > 1 and len(unl) > 1:
-            self.prior = estimate_prior(pos, unl) if prior is None else prior
             self.net = _fit(pos, unl, lambda zp, zu: risk_slope(zp, zu, self.prior)[:2], seed)
 
-    def scores(self, texts: list) -> np.ndarray:
-        if not self.net or not texts:
-            return np.full(len(texts), 0.5)
-        return _sigmoid(self.net.logits(np.array([features(t) for t in texts])))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.net.logits(x)) if self.net and len(x) else np.full(len(x), 0.5)
 
 
-def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column("part"), pa.array([features(t) for t in texts], pa.list_(pa.float64()))], ["part", "x"])
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, FEATURES)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
-    """From (doc_id, text), all of them unlabelled web text, and (doc_id, quality), of which only positives count."""
-    ids = docs.select("doc_id").where("doc_id is not null")
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    pos = bounded(ids.join(good, "doc_id", "left_semi"), F.lit(1), most_positive, "doc_id")
-    unl = bounded(ids, F.lit(1), most_unlabelled, "doc_id", seed=4)
-    picked = pos.withColumn("part", F.lit(1)).unionByName(unl.withColumn("part", F.lit(0))).groupBy("doc_id").agg(F.collect_set("part").alias("parts"))
-    # Of rows that repeat an id each counts; the picked ids are bounded.
-    sample = docs.join(F.broadcast(picked), "doc_id").select(F.explode("parts").alias("part"), "text")
-    rows = sample.mapInArrow(_featured, "part int, x array<double>").toPandas()
+def measured(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """The kept columns and x, the statistics of each row's text; written."""
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, text_col):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([features(t) for t in texts], pa.list_(pa.float64()))], [*keep, "x"])
+
+    return shared_table(rows.select(*keep, text_col).mapInArrow(run, ", ".join([*kinds, "x array<double>"])), "quality-measures")
+
+
+def _sampled(measures: DataFrame, picked: DataFrame) -> np.ndarray:
+    """The statistics of the picked ids, one row of each, in an order of their own."""
+    rows = measures.join(F.broadcast(picked.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).select("x").toPandas()
     x = np.array(rows["x"].tolist()).reshape(len(rows), FEATURES)
-    order = np.lexsort((*x.T, rows["part"].to_numpy())) if len(rows) else np.zeros(0, int)
-    order = np.random.default_rng(2).permutation(order)  # one order, however the rows came
-    x, part = x[order], rows["part"].to_numpy()[order]
-    return Model(x[part == 1], x[part == 0], prior)
+    return x[np.random.default_rng(2).permutation(np.lexsort(x.T))] if len(x) else x
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted), a row for each row of ``docs``."""
+def _above(measures: DataFrame, net: Network, cuts: np.ndarray) -> np.ndarray:
+    """How many rows score at least each cut: counted in the tasks, a few numbers of each are added up."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cuts), np.int64)
         for batch in batches:
-            for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(texts), pa.float64())], ["doc_id", "score"])
+            z = np.sort(net.logits(_matrix(batch)))
+            n += len(z) - np.searchsorted(z, cuts, "left")
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(n, pa.int64())], ["k", "n"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = measures.select("x").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(cuts), np.int64)
+    for r in rows:
+        out[r.k] = r.n
+    return out
 
 
-def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
-    """Learns labels from all but one fold and scores every row."""
-    ours = F.coalesce(crc_mod(F.col("doc_id"), folds) != fold, F.lit(False))
-    model = fit(docs.select("doc_id", "text").where(ours), labels.where(ours))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", "predicted")
+def fit(measures: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
+    """From (doc_id, x), all of them unlabelled web text, and (doc_id, quality), of which only positives count.
 
+    Of rows that repeat an id one is in the sample, so that its bound holds.
+    """
+    ids = measures.select("doc_id").where("doc_id is not null").distinct()
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    pos = _sampled(measures, bounded(ids.join(good, "doc_id", "left_semi"), F.lit(1), most_positive, "doc_id"))
+    unl = _sampled(measures, bounded(ids, F.lit(1), most_unlabelled, "doc_id", seed=4))
+    if prior is None:
+        prior = 0.5
+        if len(pos) > 3 and len(unl) > 3:
+            net = ranker(pos, unl)
+            zp = np.sort(net.logits(pos[1::2]))
+            cuts = cuts_of(zp)
+            prior = best_bin(zp, cuts, _above(measures, net, cuts), measures.count())
+    return Model(pos, unl, prior)
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose text scores ``threshold`` or more, with all their columns.
 
-    The whole row travels through the scoring step, so nothing is joined.
-    """
-    schema = docs.schema
+def _scored(measures: DataFrame, model: Model, *keep: str) -> DataFrame:
+    kinds = [f"`{c}` {measures.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
-                yield part.filter(pa.array(model.scores(texts) >= threshold))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(model.scores(_matrix(batch)), pa.float64())], [*keep, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return measures.mapInArrow(run, ", ".join([*kinds, "score double"])).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score_held_out(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
+    """(doc_id, held_out, score, predicted): learns from all but one fold and scores every row."""
+    measures = measured(docs.select("doc_id", "text"), "text", "doc_id")
+    ours = F.coalesce(crc_mod(F.col("doc_id"), folds) != fold, F.lit(False))
+    model = fit(measures.where(ours), labels.where(ours))
+    return _scored(measures, model, "doc_id").select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", "predicted")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, with all their columns.
+
+    Learns from all rows of ``labels``.  The rows that go are left out where
+    they lie, so whole rows never pass through Python.
+    """
+    rows = placed(docs)
+    measures = measured(rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *PLACE), "text", "doc_id", *PLACE)
+    scores = _scored(measures, fit(measures, labels), *PLACE)
+    return without(rows, scores.where(F.col("score") < threshold))

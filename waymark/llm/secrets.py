@@ -2,8 +2,8 @@
 
 Patterns give candidate spans.  The hash of each candidate's value is then
 counted over the whole corpus by distinct repositories and distinct owners: a
-value that many owners hold is a copied example, one that few owners hold
-looks like a live credential.  The spans of each text are found once, written
+value that many owners hold, or very many repositories of few owners, is a
+copied example; one that few of either hold looks like a live credential.  The spans of each text are found once, written
 to the shared folder, and only texts with candidates take part in the joins.
 
 Defined cases: a null text is the empty text; null owners count as one owner;
@@ -27,16 +27,32 @@ ISSUED = r"gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-
 KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("issued", ISSUED)]
 
 
+#: Matches in a stretch of ``_ends``.
+STRETCH = 128
+
+
+def _ends(gaps: Column, lens: Column) -> Column:
+    """Where each match ends: running sums of the gaps and the matches.
+
+    Sums of whole stretches and sums inside a stretch, so that a text with
+    many matches costs little more than their number.
+    """
+    steps = F.zip_with(lens, F.slice(gaps, F.lit(1), F.size(lens)), lambda a, b: a + b)
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int")), lambda q: total(F.slice(steps, q * STRETCH + 1, F.lit(STRETCH))))
+    held = F.struct(steps.alias("s"), F.transform(stretches, lambda _, q: total(F.slice(stretches, F.lit(1), q))).alias("before"))
+    at = lambda x: F.transform(x.s, lambda _, i: F.get(x.before, F.floor(i / STRETCH).cast("int")) + total(F.slice(x.s, F.floor(i / STRETCH).cast("int") * STRETCH + 1, i % STRETCH + 1)))
+    return F.element_at(F.transform(F.array(held), at), 1)
+
+
 def _spans(text: Column, kind: str, order: int, pattern: str) -> Column:
     """All matches as structs; the pieces between matches give their places."""
     p = F.lit(pattern)
     found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("gap"))
 
     def place(x: Column) -> Column:
-        lens = F.transform(x.m, F.length)
-        ends = F.transform(x.m, lambda m, i: F.aggregate(F.slice(x.gap, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice(lens, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
         spans = F.transform(
-            F.arrays_zip(x.m.alias("m"), ends.alias("e")),
+            F.arrays_zip(x.m.alias("m"), _ends(x.gap, F.transform(x.m, F.length)).alias("e")),
             lambda z: F.struct(
                 (z.e - F.length(z.m)).alias("start"), F.lit(order).alias("ord"), z.e.alias("end"), F.lit(kind).alias("kind"),
                 (F.regexp_extract(z.m, pattern, 1) if kind == "assign" else z.m).alias("value"),
@@ -65,12 +81,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return count("repo").join(count("owner"), "hash")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3, example_repos: int = 20) -> DataFrame:
     """A row for each row of ``docs``.
 
     Without a repository column each document is its own repository and its
-    source the owner.  A value that ``example_owners`` owners or more hold is
-    a copied example.  n_live and n_example count a text's spans of either
+    source the owner.  A value that ``example_owners`` owners or more hold, or
+    ``example_repos`` repositories, is a copied example; most_owners and
+    most_repos are those of the text's most widely held value.  n_live and n_example count a text's spans of either
     sort; live_spans lists the first.
     """
     found = find(docs, id_col, text_col, repo_col, owner_col)
@@ -83,18 +100,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     some = slim.where(F.size("found") > 0)
     rows = some.select("rid", "repo", "owner", F.explode("found").alias("s")).select("rid", "repo", "owner", "s.*")
     stats = shared_table(ownership(rows.select("hash", "repo", "owner")), "secret-owners")
-    live = F.col("n_owners") < example_owners
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos)
     span = F.struct("start", "ord", "end", "kind")
     judged = rows.select("rid", "start", "ord", "end", "kind", "hash").join(stats, "hash").groupBy("rid").agg(
-        F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_example"), F.max("n_owners").alias("most_owners"), F.array_sort(F.collect_list(F.when(live, span))).alias("live")
+        F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_example"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"), F.array_sort(F.collect_list(F.when(live, span))).alias("live")
     )
-    judged = some.join(judged, "rid").select(*cols, "n_live", "n_example", "most_owners", _joined(F.col("live")).alias("live_spans"))
+    judged = some.join(judged, "rid").select(*cols, "n_live", "n_example", "most_owners", "most_repos", _joined(F.col("live")).alias("live_spans"))
     zero = F.lit(0).cast("long")
-    none = slim.where(F.size("found") == 0).select(*cols, zero.alias("n_live"), zero.alias("n_example"), zero.alias("most_owners"), F.lit("").alias("live_spans"))
+    none = slim.where(F.size("found") == 0).select(*cols, zero.alias("n_live"), zero.alias("n_example"), zero.alias("most_owners"), zero.alias("most_repos"), F.lit("").alias("live_spans"))
     return judged.unionByName(none)
 
 
-def oracle_sql(example_owners: int = 3) -> str:
+def oracle_sql(example_owners: int = 3, example_repos: int = 20) -> str:
     def spans(kind: str, order: int, pattern: str) -> str:
         p = pattern.replace("'", "''")
         value = f"regexp_extract(m[i], '{p}', 1)" if kind == "assign" else "m[i]"
@@ -104,15 +121,16 @@ def oracle_sql(example_owners: int = 3) -> str:
 
     union = "\nunion all ".join(spans(kind, k, p) for k, (kind, p) in enumerate(KINDS))
     text = "kind || ':' || s || ':' || (s + n)"
+    live = f"(n_owners < {example_owners} and n_repos < {example_repos})"
     return f"""
 with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as t from documents),
 f as (select * from ({union}) where ord > 0 or length(value) >= 6),
-o as (select value, count(distinct coalesce(source, chr(0))) as n_owners from f join d using (rid) group by value),
+o as (select value, count(distinct coalesce(source, chr(0))) as n_owners, count(distinct coalesce(doc_id::varchar, chr(0))) as n_repos from f join d using (rid) group by value),
 a as (select rid, count(*) filter (where ord = 0) as n_assign, count(*) filter (where ord = 1) as n_access, count(*) filter (where ord = 2) as n_hex,
   coalesce(string_agg({text}, ',' order by s, ord) filter (where ord < 3), '') as base, string_agg({text}, ',' order by s, ord) as spans,
-  count(*) filter (where n_owners < {example_owners}) as n_live, count(*) filter (where n_owners >= {example_owners}) as n_example, max(n_owners) as most_owners,
-  coalesce(string_agg({text}, ',' order by s, ord) filter (where n_owners < {example_owners}), '') as live_spans from f join o using (value) group by rid)
+  count(*) filter (where {live}) as n_live, count(*) filter (where not {live}) as n_example, max(n_owners) as most_owners, max(n_repos) as most_repos,
+  coalesce(string_agg({text}, ',' order by s, ord) filter (where {live}), '') as live_spans from f join o using (value) group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
-  coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example, coalesce(most_owners, 0) as most_owners, coalesce(live_spans, '') as live_spans
+  coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example, coalesce(most_owners, 0) as most_owners, coalesce(most_repos, 0) as most_repos, coalesce(live_spans, '') as live_spans
 from d left join a using (rid)
 """
