@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
-from waymark.llm.common import shared_table, table
+from waymark.llm.common import release, shared_table, table
 
 #: The stages learn or decide in ways that SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -18,8 +18,7 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects; it learns from all labelled positives, on a bounded sample."""
-    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shared_table(docs, f"stage-{k}")
+            release(before)
     return docs
