@@ -1,13 +1,14 @@
 import hashlib
 import itertools
 import re
+import textwrap
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-from waymark.llm import decontaminate, exact_dedup, html_text, language, licenses, mixing, near_dedup, secrets
+from waymark.llm import common, decontaminate, exact_dedup, html_text, language, licenses, mixing, near_dedup, secrets
 from waymark.llm.words import slices, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, size string, rid string, `__row` string, `key` string"
@@ -48,9 +49,37 @@ def test_exact_keep_first(spark):
     assert exact_dedup.keep_first(df.limit(0)).count() == 0
 
 
-def test_exact_distributed_filter(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BITS", 0)
-    assert {r.group_size for r in exact_dedup.groups(docs(spark, MIXED)).where("doc_id = 2").collect()} == {3}
+def test_exact_with_a_full_filter(spark, monkeypatch):
+    """A filter far too small only lets more rows be looked at."""
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 0)
+    rows = [(k, f"text {k % 700}", "s") for k in range(1000)] + MIXED
+    df = docs(spark, rows)
+    assert {r.group_size for r in exact_dedup.groups(df).where("doc_id = 8").collect()} == {2}
+    assert exact_dedup.keep_first(df).count() == 700 + 4
+
+
+@pytest.mark.parametrize("blocks", [8192, 1])
+def test_no_text_is_shuffled(spark, tmp_path, monkeypatch, blocks):
+    """The rows that stay pass straight from the scan, over several files and passes."""
+    monkeypatch.setattr(common, "PASS_BLOCKS", blocks)
+    rows = near_fixture() + [(None, None, None), (7, "x y z", "s"), (7, "x y z", "s")]
+    docs(spark, rows).repartition(5).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    for keep in (exact_dedup.keep_first, near_dedup.keep_one, lambda d: decontaminate.keep_clean(d, spark.createDataFrame([(1, rows[0][1])], "item_id int, text string")), lambda d: mixing.mixed_rows(d)):
+        out = keep(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange (hash|range|single|round)", plan) and "BroadcastExchange" in plan
+        assert out.columns[: len(df.columns)] == df.columns and 0 < out.count() < len(rows)
+    assert sorted(map(repr, exact_dedup.keep_first(df).collect())) == sorted(map(repr, exact_dedup.keep_first(docs(spark, rows)).collect()))
+
+
+def test_marks_reach_their_rows(spark, tmp_path, monkeypatch):
+    spark.range(200_000).selectExpr("id", "id % 4 as want").repartition(3).write.parquet(str(tmp_path / "t"))
+    rows = common.placed(spark.read.parquet(str(tmp_path / "t")).where("id % 3 > 0"))
+    for blocks in (8192, 2):
+        monkeypatch.setattr(common, "PASS_BLOCKS", blocks)
+        got = common.marked(rows, rows.select(*common.PLACE, "want").withColumnRenamed("want", "v"), "v", bits=2)
+        assert got.where("v <> want").count() == 0 and got.count() == rows.count()
 
 
 BSD = """Copyright (c) 2020, A. Person
@@ -79,10 +108,17 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """
 
 
+MIT = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("Permission"))
+
+
+def rewrapped(text, width, indent=""):
+    paragraphs = re.split(r"\n[ \t]*\n", text)
+    return "\n\n".join("\n".join(indent + x for x in textwrap.wrap(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)) for p in paragraphs)
+
+
 def test_licenses(spark):
-    mit = licenses.KNOWN[1][1]
     rows = [
-        (1, "Copyright (c) 2020 A. Person\n\n" + mit.replace("sublicense", "sub-license").upper(), "s"),
+        (1, "Copyright (c) 2020 A. Person\n\n" + MIT.replace("sublicense", "sub-license").upper(), "s"),
         (2, "Some text.\nLICENCED under CC BY-NC 4.0\nreleased under the MIT licence!\nmore", "s"),
         (3, "a license to fish", "s"), (4, None, "s"), (5, "", "s"), (5, "", "s"),
     ]
@@ -92,6 +128,25 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_at_any_width():
+    """Every known text, wrapped anew at 40 to 120 columns, plain and indented, has its digest still."""
+    for name, text in licenses.KNOWN:
+        want = licenses._digest(text)
+        for width in (*range(40, 121, 9), 61, 62, 80, 118):
+            assert licenses._digest(rewrapped(text, width)) == want, (name, width)
+        assert licenses._digest(rewrapped(text, 71, "    ")) == want, name
+
+
+def test_licenses_in_their_usual_dress(spark):
+    heads = ["The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n", "MIT License\n\nCopyright © 2020 A. Person. All rights reserved.\n\n", "Copyright 2019-2021, A. Person\nCopyright (C) B. Person\nAll rights reserved.\n\n", "MIT License\n=====\n"]
+    rows = [(10 * k + j, head + rewrapped(MIT, w), "s") for k, head in enumerate(heads) for j, w in enumerate((50, 62, 80, 118))]
+    rows += [(100, "README\n\nA tool.\n\n## Licence\n\n" + rewrapped(MIT, 72, "> ") + "\n\nSee also the wiki.", "s"), (101, "\n\n".join(MIT.split("\n\n")[1:]), "s"), (102, (MIT + "\n\n") * 300 + "word " * 100_000, "s")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert [i for i in range(40) if i in got and (got[i].licenses, got[i].whole_license) != ("MIT", "MIT")] == []
+    assert (got[100].licenses, got[100].whole_license) == ("MIT", None) and got[101].licenses == "" and got[102].licenses == "MIT"
+
+
 def test_licenses_common_texts_and_headers(spark):
     texts = Path(licenses.__file__).with_name("license_texts")
     whole = {name: (texts / f"{name}.txt").read_text() for name in licenses.TEXTS}
@@ -137,10 +192,26 @@ def test_secrets(spark):
         spans = brute_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest(), t
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
-    assert got[100].n_example == 1 and got[100].n_live == 0 and got[0].n_live == 4 and got[0].live_spans
+    assert got[100].n_example == 1 and got[100].n_live == 0 and got[0].n_live == 4 and got[0].live_spans and (got[100].most_owners, got[100].most_repos) == (4, 5)
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_widely_copied_by_few_owners(spark):
+    """Very many repositories of one owner, too, mean a copied example; repeated rows are one repository."""
+    rows = [(k, "password=copied99", "one") for k in range(25)] + [(100 + k, "password=mine1234", "one") for k in range(5)] + [(200, "password=again123", "one")] * 40
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, rows)).collect()}
+    assert secrets.scan(docs(spark, rows)).count() == len(rows)
+    assert (got[0].n_live, got[0].n_example, got[0].most_repos) == (0, 1, 25)
+    assert (got[100].n_live, got[100].most_repos) == (1, 5) and (got[200].n_live, got[200].most_repos) == (1, 1)
+
+
+def test_secrets_many_spans(spark):
+    text = " ".join(f"{k:032x} " for k in range(30_000))
+    row = secrets.scan(docs(spark, [(1, text, "s")])).first()
+    spans = brute_spans(text)
+    assert row.n_hex == len(spans) == 30_000 and row.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
+
+
 def shingles(text):
     w = tokens(text)
     n = min(5, len(w))
@@ -193,6 +264,24 @@ def test_near_classes(spark, monkeypatch, block):
     assert got == sorted(want, key=repr)
 
 
+def test_near_large_bucket(spark, monkeypatch):
+    """Many near copies of one text, others that share half of it, and texts that chain two groups, in buckets of many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 7)
+    rng = np.random.default_rng(11)
+    base = prose(1, 120).split()
+    rows = []
+    for k in range(60):
+        v = list(base)
+        for j in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+            v[j] = f"n{k}x{j}"
+        rows.append((k, " ".join(v), "s"))
+    rows += [(100 + k, " ".join(base[:60] + prose(50 + k, 60).split()), "s") for k in range(25)]
+    rows += [(200 + k, " ".join(base[: 120 - 4 * k] + prose(99, 4 * k).split()), "s") for k in range(20)]
+    got = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(docs(spark, rows)).collect())
+    want = [(rows[k][0], min(rows[j][0] for j in g), len(g)) for g in brute_classes(rows).values() for k in g]
+    assert got == sorted(want)
+
+
 def test_near_keep_one(spark):
     rows = near_fixture()
     df = docs(spark, rows)
@@ -228,6 +317,14 @@ def test_language(spark):
     assert language.identify_held_out(df.limit(0)).count() == 0
 
 
+def test_language_ties_and_clashing_names(spark):
+    """Equal distances go to the first language; columns named like results are no input."""
+    rows = [(k, "abc abc", "zz" if k % 2 else "aa", "q", 0.5, True) for k in range(40)] + [(100, "abc", None, "q", 0.5, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    got = language.identify_held_out(df).collect()
+    assert len(got) == 41 and {r.lang_pred for r in got} == {"aa"} and got[0].score > 0.9
+
+
 def brute_ngrams(text):
     out = Counter()
     for w in re.findall(r"[^\W\d_]+", text.lower()):
@@ -268,6 +365,73 @@ def test_html_svg_math_and_open_head():
     assert page("<head><noscript><img>n</noscript><template><div>d</div></template><title>t</title></head><body>b") == "b"
 
 
+def test_html_tables_keep_their_grid():
+    page = html_text.page_text
+    assert page("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2</table>") == "A  b1  c1\n   b2  c2"
+    long = "y" * 70
+    assert page(f"<table><tr><td>x<td>{long}<td>r<tr><td>p<td>q<td>s</table>") == f"x  {long}  r\np  q{' ' * 69}  s"
+    assert page("<table><tr><td colspan=3>wide as three columns<td>e<tr><td>a<td>b<td>c<td>f</table>") == "wide as three columns  e\na  b  c                f"
+    assert page("<table><tr><td colspan=1000>a<td>b</table>") == "a  b"
+    assert page("<table><tbody><tr><td rowspan=9>A<td>b<tbody><tr><td>c<td>d</table>") == "A  b\nc  d"
+    assert page("<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>") == "A  b\n   c\n   d"
+
+
+def test_html_wide_cells():
+    """Running text is wrapped; a word wider than any column stands alone, and what is beside it keeps its place."""
+    page = html_text.page_text
+    lines = page("<table><tr><td>" + "word " * 60 + "<td>side<tr><td>a<td>b</table>").split("\n")
+    assert lines[0].index("side") == lines[-1].index("b") == 101 and sum(x.count("word") for x in lines) == 60 and len(lines) == 4
+    lines = page("<table><tr><td>" + "z" * 500 + "<td>side<tr><td>a<td>b</table>").split("\n")
+    assert lines[0] == "z" * 500 and lines[1].index("side") == lines[2].index("b") == 402
+
+
+def test_html_grid_brute_force():
+    """Random tables with spans: the text of each cell starts where its column does, by a grid that is filled in square by square."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n_rows, n_cols = int(rng.integers(1, 6)), int(rng.integers(1, 6))
+        taken, cells, page = {}, [], "<table>"
+        for r in range(n_rows):
+            page += "<tr>"
+            for c in range(n_cols):
+                if (r, c) in taken:
+                    continue
+                across = 1
+                while across < 3 and c + across < n_cols and (r, c + across) not in taken and rng.random() < 0.3:
+                    across += 1
+                down = int(rng.integers(1, 4)) if rng.random() < 0.3 else 1
+                text = f"t{r}x{c}" + "w" * int(rng.integers(0, 12))
+                for i in range(down):
+                    for j in range(across):
+                        taken[r + i, c + j] = True
+                cells.append((r, c, text))
+                page += f"<td colspan={across} rowspan={down}>{text}"
+        lines = html_text.page_text(page + "</table>").split("\n")
+        at = {}
+        for r, c, text in cells:
+            where = [(k, x.index(text)) for k, x in enumerate(lines) if re.search(rf"(^| ){text}( |$)", x)]
+            assert len(where) == 1, (page, lines)
+            at.setdefault(c, set()).add(where[0][1])
+        assert all(len(v) == 1 for v in at.values()), (page, lines)
+        assert sorted(at) == sorted(at, key=lambda c: (min(at[c]), c))
+
+
+def test_html_visibility():
+    page = html_text.page_text
+    assert page("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>end") == "yes\nend"
+    assert page("<div style='visibility:hidden; visibility:visible'>yes<i style='VISIBILITY: collapse'>no</i></div>") == "yes"
+    assert page("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>") == "- yes"
+    assert page("<p style='display:none'>no<b style='visibility:visible'>no</b></p>x") == "x"
+
+
+def test_html_very_long_page():
+    page = "<p>" + "word " * 200_000 + "<table>" + "<tr><td>a<td>" + "b " * 50 + "</table>" + "<div>" * 20_000 + "deep"
+    text = html_text.page_text(page)
+    assert text.count("word") == 200_000 and text.endswith("deep")
+    rows = html_text.page_text("<table>" + "<tr><td>k<td>v" * 30_000 + "</table>")
+    assert rows.count("\n") == 29_999 and set(rows.split("\n")) == {"k  v"}
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a</p>", "u"), (1, "<p>a</p>", "u"), (None, None, None)], "page_id long, html string, text string")
     assert sorted(((r.page_id, r.text) for r in html_text.extract(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, "")]
@@ -321,6 +485,11 @@ def test_mix(spark):
     assert key(again) == key(got)
     used = mixing.mixed_rows(df)
     assert used.columns == [*df.columns, "__size", "__copies"]
+    whole = Counter()
+    for r in used.collect():
+        whole[r.source] += r["__size"] * r["__copies"]
+        assert 1 <= r["__copies"] <= 3 and r["__size"] == len((r.text or "").split())
+    assert whole == Counter({s: n for s, n in taken.items() if n})
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -362,8 +531,8 @@ def test_retrieval_misses_nothing_that_verifies():
     found = 0
     for text, own in zip(texts, got):
         words, half, want = tokens(text), ix.longest, set()
-        for start in range(0, len(words), half):
-            window = words[start : start + 2 * half]
+        for start in range(0, max(1, len(words) - 2 * half), half):
+            window = words[start : start + 3 * half]
             for k, (_, q, a) in enumerate(ix.items):
                 if set(window) & set(q + a) and (decontaminate.overlap(q + a, window) >= 0.8 or (q and a and min(decontaminate.overlap(q, window), decontaminate.overlap(a, window)) >= 0.8)):
                     want.add(k)
@@ -372,6 +541,22 @@ def test_retrieval_misses_nothing_that_verifies():
     assert found > 200 and min(ix.needs) < 0.6
 
 
+def test_retrieval_against_whole_texts():
+    """Copies with words put into them, wherever they stand in the text: by overlap with the whole text."""
+    rng = np.random.default_rng(13)
+    items = [(k, prose(700 + k, int(rng.integers(40, 60)))) for k in range(12)]
+    ix = decontaminate.Index(items)
+    texts, want = [], []
+    for _ in range(150):
+        k = int(rng.integers(12))
+        words = items[k][1].split()
+        cut = int(rng.integers(5, len(words) - 5))
+        own = words[:cut] + prose(int(rng.integers(1000, 9000)), int(rng.integers(0, 41))).split() + words[cut:]
+        texts.append(" ".join(prose(int(rng.integers(9000)), int(rng.integers(0, 300))).split() + own + prose(int(rng.integers(9000)), 30).split()))
+        want.append({j for j, (_, q, a) in enumerate(ix.items) if decontaminate.overlap(q + a, tokens(texts[-1])) >= 0.8})
+    assert [set(x) for x in ix.search(texts)] == want and sum(map(len, want)) >= 140
+
+
 def test_decontaminate(spark):
     bench = spark.createDataFrame([(1, "What is " + prose(1, 30) + "?\nIt is " + prose(2, 10)), (2, prose(3, 15)), (3, None), (4, prose(6, 300)), (None, prose(7, 20))], "item_id long, text string")
     item = {r.item_id: r.text for r in bench.collect()}

@@ -2,7 +2,7 @@
 
 Features are hashed word n-grams (one and two words), skip-grams (two words
 with one between) and word stems (the first five characters) with how often a
-text has them, each once a text, of the value 1.  Each
+text has them and their share of its words, each once a text, of the value 1.  Each
 coordinate has its own rate, and the L1 term keeps weights at zero until the
 evidence is enough, so the model is a short list of (bucket, weight).
 
@@ -37,9 +37,10 @@ MOST_TOXIC = 3000
 MOST_CLEAN = 6000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 EPOCHS = 8
-#: Letters of a stem, and the counts at which it has a coordinate of its own.
+#: Letters of a stem, and the counts and shares of a text's words (two at least) at which it has a coordinate of its own.
 STEM = 5
 COUNTS = (1, 2, 3, 5, 8)
+SHARES = (0.005, 0.01, 0.02, 0.04)
 
 
 class Stems(dict):
@@ -63,6 +64,7 @@ def buckets(text: str | None, words: Hashes, stems: Stems) -> np.ndarray:
                 grams.append(mix(w[:-gap] * U(0x100000001B3) + mix(w[gap:] + U(gap))))
         stem, count = np.unique(s, return_counts=True)
         grams += [mix(stem[count >= n] + U(100 + n)) for n in COUNTS]
+        grams += [mix(stem[count >= max(2, r * len(s))] + U(200 + k)) for k, r in enumerate(SHARES)]
     at = (np.concatenate(grams) & U(BUCKETS - 1)).astype(np.int64)
     at.sort()
     return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
