@@ -136,8 +136,11 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
 
-def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """Links that connect what similar pairs connect; if side has both values, only pairs across it are compared."""
+def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray], parts: list[bytes] | None = None) -> list[tuple[bytes, bytes]]:
+    """Links that connect what similar pairs connect; if side has both values, only pairs across it are compared.
+
+    Texts of one part are connected already, so a part needs one link at most.
+    """
     n, sizes = len(keys), np.array([len(x) for x in sets])
     rows = np.flatnonzero(side == side[0])
     cols = np.flatnonzero(side != side[0]) if len(rows) < n else rows
@@ -157,6 +160,10 @@ def forest(keys: list[bytes], side: np.ndarray, sets: list[np.ndarray]) -> list[
         both += incidence[rows] @ incidence[cols].T
     near = both >= SIMILAR * (sizes[rows][:, None] + sizes[cols][None, :] - both) - 1e-3
     at = np.arange(n)
+    if parts is not None:
+        first_of: dict[bytes, int] = {}
+        for k, part in enumerate(parts):
+            at[k] = first_of.setdefault(part, k)
 
     def root(x: int) -> int:
         while at[x] != x:
@@ -185,23 +192,23 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cell = None
 
     def links() -> pa.RecordBatch:
-        found = forest([r[0] for r in held], np.array([r[1] for r in held]), [r[2] for r in held]) if len(held) > 1 else []
+        found = forest([r[0] for r in held], np.array([r[1] for r in held]), [r[2] for r in held], [r[3] for r in held]) if len(held) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
         sets = _lists(batch.column("shingles"))
-        for values, here, key, side in zip(sets, zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True), *(batch.column(c).to_pylist() for c in ("key", "side")), strict=True):
+        for values, here, key, side, part in zip(sets, zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True), *(batch.column(c).to_pylist() for c in ("key", "side", "part")), strict=True):
             if here != cell:
                 yield links()
                 held, cell = [], here
-            held.append((key, side, values.copy()))
+            held.append((key, side, values.copy(), part))
     yield links()
 
 
 def _cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the cells (band, i, j, key, side)."""
+    """Links of the cells (band, i, j, key, side, part)."""
     ordered = cells.join(sets, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return ordered.select("band", "i", "j", "key", "side", "shingles").mapInArrow(_compare, "a binary, b binary").distinct()
+    return ordered.select("band", "i", "j", "key", "side", "part", "shingles").mapInArrow(_compare, "a binary, b binary").distinct()
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +240,9 @@ def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         # The main part leads first; later leaders come from any part.
         lead = F.col("main") if k == 0 else F.col("any")
         leaders = main.where("parts > 1").select("band", lead["lead"].alias("a"), lead["comp"].alias("__c"))
-        pairs = state.join(leaders, "band").where("comp <> __c").select("a", F.col("key").alias("b")).distinct()
+        # A member that several buckets give a leader meets the one that most of them give.
+        pairs = state.join(leaders, "band").where("comp <> __c").groupBy(F.col("key").alias("b"), "a").agg(F.count(F.lit(1)).alias("n"))
+        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         more = shared_table(pairs.select("a", "b", "x", "y").mapInArrow(_meet, "a binary, b binary"), "near-led")
         release(parts)
@@ -255,7 +264,7 @@ def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     each = seats("k_rest", lambda c: seat(F.least(b, c), F.greatest(b, c), b))
     # Blocks of the main part are numbered behind those of the rest, from -1 down.
     across = F.when(F.col("apart"), F.concat(each, seats("k_main", lambda c: seat(b, -1 - c, F.lit(0))))).otherwise(seats("k_rest", lambda c: seat(c, -1 - b, F.lit(1))))
-    cells = rows.select("band", "key", F.explode(across).alias("s")).select("band", "key", "s.*")
+    cells = rows.select("band", "key", F.col("comp").alias("part"), F.explode(across).alias("s")).select("band", "key", "part", "s.*")
     return found.unionByName(_cells(cells, sets))
 
 
@@ -274,7 +283,7 @@ def links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     texts = marked(rows, wanted, "want").where("want = 1").select("text")
     sets = shared_table(texts.mapInArrow(_sets, "key binary, shingles array<long>"), "near-sets")
     zero = F.lit(0)
-    small = members.where("blocks = 1").select("band", zero.alias("i"), zero.alias("j"), "key", zero.alias("side"))
+    small = members.where("blocks = 1").select("band", zero.alias("i"), zero.alias("j"), "key", zero.alias("side"), F.col("key").alias("part"))
     found = shared_table(_cells(small, sets), "near-links")
     large = members.where("blocks > 1")
     if large.limit(1).count():
