@@ -207,7 +207,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the cells (band, i, j, key, side, part)."""
-    ordered = cells.join(sets, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    # In the order of keys, so that cells of the same texts give the same links.
+    ordered = cells.join(sets, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "key")
     return ordered.select("band", "i", "j", "key", "side", "part", "shingles").mapInArrow(_compare, "a binary, b binary").distinct()
 
 
@@ -221,23 +222,34 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def _parts(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with the part of the graph that the links so far put each in."""
-    comp = graph.components(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), found)
-    return members.join(comp.select(F.col("node").alias("key"), "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+def _parts(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, comp): the part of the graph of links that each of the nodes (key) and the links' own ends is in."""
+    every = found.select(F.col("a").alias("node")).union(found.select("b")).union(nodes.select("key")).distinct()
+    return graph.components(every, found).select(F.col("node").alias("key"), "comp")
 
 
-def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Further links of the buckets of more than one block: by leaders, then among what these leave apart.
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """``parts`` after further links: only the parts that these connect are looked at, each as one node."""
+    end = lambda c: parts.select(F.col("key").alias(c), F.col("comp").alias(f"{c}_part"))
+    across = more.join(end("a"), "a").join(end("b"), "b").where("a_part <> b_part").select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    across = shared_table(across, "near-across")
+    if not across.limit(1).count():
+        return parts
+    whole = graph.components(across.select(F.col("a").alias("node")).union(across.select("b")).distinct(), across)
+    whole = whole.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    return shared_table(parts.join(whole, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp")), "near-parts")
 
-    Members: (band, key, blocks).  Each leader is the least member of a part
-    that is not the bucket's main one any more, or at first of the bucket.
+
+def _large(members: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` with the links of the buckets of more than one block: by leaders, then among what these leave apart.
+
+    Members: (band, key, blocks).  A bucket's leader is the least member of its
+    main part at first, later of any part of it.
     """
     for k in range(LEADERS):
-        state = shared_table(_parts(members, found), "near-parts")
-        parts = shared_table(state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")), "near-sizes")
-        main = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp", "lead")).alias("main"), F.max(F.struct(F.xxhash64(F.lit(k), "lead"), F.col("lead").alias("lead"), F.col("comp").alias("comp"))).alias("any"))
-        # The main part leads first; later leaders come from any part.
+        state = shared_table(members.join(parts, "key"), "near-state")
+        sizes = shared_table(state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")), "near-sizes")
+        main = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp", "lead")).alias("main"), F.max(F.struct(F.xxhash64(F.lit(k), "lead"), F.col("lead").alias("lead"), F.col("comp").alias("comp"))).alias("any"))
         lead = F.col("main") if k == 0 else F.col("any")
         leaders = main.where("parts > 1").select("band", lead["lead"].alias("a"), lead["comp"].alias("__c"))
         # A member that several buckets give a leader meets the one that most of them give.
@@ -245,12 +257,12 @@ def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
         pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
         more = shared_table(pairs.select("a", "b", "x", "y").mapInArrow(_meet, "a binary, b binary"), "near-led")
-        release(parts)
+        release(state, sizes)
         if not more.limit(1).count():
             break
-        found = shared_table(found.unionByName(more), "near-links")
+        parts = _joined(parts, more)
     # Of each bucket the members apart from the main part meet each other and the main part.
-    state = shared_table(_parts(members, found), "near-parts")
+    state = shared_table(members.join(parts, "key"), "near-state")
     sizes = shared_table(state.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")), "near-sizes")
     whole = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).select("band", F.col("main.comp").alias("main"), (F.col("all") - F.col("main.n")).alias("rest"), "all").where("rest > 0")
     rows = state.join(whole, "band").withColumn("apart", F.col("comp") != F.col("main"))
@@ -265,11 +277,11 @@ def _large(members: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     # Blocks of the main part are numbered behind those of the rest, from -1 down.
     across = F.when(F.col("apart"), F.concat(each, seats("k_main", lambda c: seat(b, -1 - c, F.lit(0))))).otherwise(seats("k_rest", lambda c: seat(c, -1 - b, F.lit(1))))
     cells = rows.select("band", "key", F.col("comp").alias("part"), F.explode(across).alias("s")).select("band", "key", "part", "s.*")
-    return found.unionByName(_cells(cells, sets))
+    return _joined(parts, shared_table(_cells(cells, sets), "near-rest"))
 
 
-def links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives, enough to connect every class; ``rows`` are (text, ``PLACE``)."""
+def parts_of(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, comp) of the representatives that are linked to others; ``rows`` are (text, ``PLACE``)."""
     reps = shared_table(sketches.where("key is not null").groupBy("key").agg(F.min_by(F.struct("at", "weight", "bands"), "at").alias("r")).select("key", "r.*"), "near-reps")
     held = reps.select("key", "weight", F.explode("bands").alias("band"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -286,10 +298,11 @@ def links(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     small = members.where("blocks = 1").select("band", zero.alias("i"), zero.alias("j"), "key", zero.alias("side"), F.col("key").alias("part"))
     found = shared_table(_cells(small, sets), "near-links")
     large = members.where("blocks > 1")
+    parts = shared_table(_parts(large.select("key"), found), "near-parts")
     if large.limit(1).count():
-        found = shared_table(_large(large, sets, found).distinct(), "near-links")
-    release(reps, buckets, members, sets)
-    return found
+        parts = _large(large, sets, parts)
+    release(reps, buckets, members, sets, found)
+    return parts
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -300,11 +313,10 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
 
 def _classed(rows: DataFrame) -> DataFrame:
-    """(doc_id, at, key, comp) of the rows that have words; comp is null for texts without links."""
+    """(doc_id, at, key, comp) of all rows; key is null for texts without words, comp for texts without links."""
     sketches = _sketches(rows)
-    found = links(rows.select("text", *PLACE), sketches)
-    comp = graph.components(found.select(F.col("a").alias("node")).union(found.select("b")).distinct(), found)
-    return shared_table(sketches.select("doc_id", "at", "key").join(comp.select(F.col("node").alias("key"), "comp"), "key", "left"), "near-rows")
+    parts = parts_of(rows.select("text", *PLACE), sketches)
+    return shared_table(sketches.select("doc_id", "at", "key").join(parts, "key", "left"), "near-rows")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
