@@ -434,10 +434,22 @@ def resample_route(spark, sf_dir):
     return routes.resample(_xy(spark, sf_dir), KEY, "t", "x", "y").select("activity_id", r4("length_m", 3).alias("length_m"), F.size("xs").cast("long").alias("n"))
 
 
-@query()
+#: Routes at even distances, and the discrete Frechet distance row by row of its table: a row is made from the one before, from left to right.
+FRECHET = ARC + """, len as (select activity_id, max(along) as l, least(100, greatest(20, floor(max(along) / 1000)))::int as n, arg_max(x, t) as last_x, arg_max(y, t) as last_y from arc group by 1 having max(along) > 0),
+o as (select activity_id, along, x, y, lead(along) over w as na, lead(x) over w as nx, lead(y) over w as ny from arc window w as (partition by activity_id order by t)),
+g as (select activity_id, k, l * k / (n - 1) as pos, k = n - 1 as is_last, last_x, last_y from (select *, unnest(range(n)) as k from len)),
+pt as (select g.activity_id, k, case when is_last then last_x else x + (nx - x) * (pos - along) / (na - along) end as x, case when is_last then last_y else y + (ny - y) * (pos - along) / (na - along) end as y from g left join o on o.activity_id = g.activity_id and not is_last and along <= pos and pos < na),
+route as (select activity_id, activity_id % 5 as part, l, list(x order by k) as xs, list(y order by k) as ys from pt join len using (activity_id) group by all),
+pair as (select p.activity_id as a, q.activity_id as b, p.l as la, q.l as lb, p.xs as px, p.ys as py, q.xs as qx, q.ys as qy from route p join route q on p.part = q.part and p.activity_id < q.activity_id where greatest(p.l, q.l) <= 1.2 * least(p.l, q.l)),
+fr(a, b, i, r) as (select a, b, 0, [0.0::double] || list_transform(range(len(qx)), lambda j: 'inf'::double) from pair
+  union all select pair.a, pair.b, i + 1, list_reduce(list_transform(range(1, len(qx) + 1), lambda j: [least(r[j], r[j + 1]), sqrt(pow(px[i + 1] - qx[j], 2) + pow(py[i + 1] - qy[j], 2))]), lambda acc, e: list_append(acc, greatest(e[2], least(e[1], acc[-1]))), ['inf'::double])
+  from fr join pair on pair.a = fr.a and pair.b = fr.b where i < len(px))"""
+
+
+@query(f"with recursive {FRECHET} select fr.a, fr.b, round(r[-1] / (50 + 0.018 * (la + lb) / 2), 4) as distance from fr join pair on pair.a = fr.a and pair.b = fr.b where i = len(px)")
 def frechet_pairs(spark, sf_dir):
     r = routes.resample(_xy(spark, sf_dir), KEY, "t", "x", "y").withColumn("part", F.col("activity_id") % 5)
-    return routes.frechet_pairs(r, "part", "activity_id")
+    return routes.frechet_pairs(r, "part", "activity_id").select("a", "b", r4("distance").alias("distance"))
 
 
 @query("with c as (select user_id % 9 as part, event_type as label, value as v from events), m as (select part, mode(label order by label) as name, median(v) as centre, count(*) as n from c group by 1 having count(*) >= 2) select part, name, round(centre, 4) as centre, (row_number() over (order by n desc, part) - 1)::int as rank from m")
@@ -522,19 +534,46 @@ def distinct_keep_first(spark, sf_dir):
 # Models.
 
 
-@query()
+def _spans_sql(source: str, features: list[str], penalty: float) -> str:
+    """Spans of least squared deviation plus penalty by the whole table of best ends, of a CTE with activity_id, pos and the features."""
+    n = range(len(features))
+    scaled = ", ".join(f"({f} - avg({f}) over w) / case when stddev_pop({f}) over w > 0 then stddev_pop({f}) over w else 1 end as z{k}" for k, f in zip(n, features))
+    gone = " + ".join(f"pow(s{k}[t + 2] - s{k}[c + 1], 2)" for k in n)
+    return f"""f as (select *, row_number() over (partition by activity_id order by pos) as k from {source} where {' and '.join(f'{f} is not null' for f in features)}),
+z as (select activity_id, k, {scaled} from f window w as (partition by activity_id)),
+ps as (select activity_id, k, {', '.join(f'sum(z{k}) over o as s{k}' for k in n)}, sum({' + '.join(f'z{k} * z{k}' for k in n)}) over o as q from z window o as (partition by activity_id order by k rows unbounded preceding)),
+sums as (select activity_id, count(*)::int as n, {', '.join(f'[0.0::double] || list(s{k} order by k) as s{k}' for k in n)}, [0.0::double] || list(q order by k) as q from ps group by 1),
+dp(activity_id, t, best, back) as (select activity_id, 1, [{-penalty}::double, 'inf'::double], [0, 0] from sums where n >= 4
+  union all select activity_id, t + 1, list_append(best, list_min(h) + {penalty}), list_append(back, list_position(list_transform(h, lambda x: x <= list_min(h) + {models.TIE}), true)::int - 1)
+  from (select dp.*, list_transform(range(t), lambda c: best[c + 1] + q[t + 2] - q[c + 1] - ({gone}) / (t + 1 - c)) as h from dp join sums using (activity_id) where t < n)),
+done as (select activity_id, n, back from dp join sums using (activity_id) where t = n),
+cuts(activity_id, e, b) as (select activity_id, n, back[n + 1] from done union all select cuts.activity_id, b, back[b + 1] from cuts join done using (activity_id) where b > 0),
+spans as (select c.activity_id, row_number() over (partition by c.activity_id order by e)::int as span, x.pos as span_start, y.pos as span_end
+  from (select * from cuts union all select activity_id, n, 0 from sums where n < 4) c join f x on x.activity_id = c.activity_id and x.k = b + 1 join f y on y.activity_id = c.activity_id and y.k = e)"""
+
+
+_PELT = REC + ", src as (select activity_id, t as pos, latitude, longitude from rec), " + _spans_sql("src", ["latitude", "longitude"], 10.0)
+
+
+@query(f"with recursive {_PELT} select activity_id, span, round(span_start, 3) as span_start, round(span_end, 3) as span_end from spans")
 def changepoint_pelt(spark, sf_dir):
-    return models.change_spans(rec(spark, sf_dir), KEY, "t", ["latitude", "longitude"], 10.0)
+    s = models.change_spans(rec(spark, sf_dir), KEY, "t", ["latitude", "longitude"], 10.0)
+    return s.select("activity_id", "span", r4("start", 3).alias("span_start"), r4("end", 3).alias("span_end"))
 
 
-@query()
+_COMMUTES = REC + """, src as (select activity_id, ts as pos, case when hour(ts) < 12 then latitude else latitude + 0.01::double end as home_lat, case when hour(ts) < 12 then latitude + 0.01::double else latitude end as work_lat, longitude,
+  case when hour(ts) < 12 then round(latitude, 3)::varchar else round(longitude, 3)::varchar end as home, case when hour(ts) < 12 then round(longitude, 3)::varchar else round(latitude, 3)::varchar end as work from rec where latitude is not null), """
+_COMMUTES += _spans_sql("src", ["home_lat", "longitude", "work_lat", "longitude"], 10.0)
+
+
+@query(f"with recursive {_COMMUTES} select s.activity_id, span_start::date::varchar as start_date, span_end::date::varchar as end_date, count(*) as n_commutes, mode(home order by home) as home_address, mode(work order by work) as work_address from spans s join src on src.activity_id = s.activity_id and src.pos between span_start and span_end group by s.activity_id, span, span_start, span_end")
 def commute_spans(spark, sf_dir):
     r = rec(spark, sf_dir).where("latitude is not null")
     c = r.select(
         "activity_id", F.col("ts").alias("date"), X.direction(F.col("ts")).alias("direction"), F.col("latitude").alias("start_lat"), F.col("longitude").alias("start_lon"),
         (F.col("latitude") + 0.01).alias("end_lat"), F.col("longitude").alias("end_lon"), F.round("latitude", 3).cast("string").alias("start_address"), F.round("longitude", 3).cast("string").alias("end_address"),
     )
-    return models.commute_spans(c, KEY, 10.0)
+    return models.commute_spans(c, KEY, 10.0).select("activity_id", iso("start_date"), iso("end_date"), "n_commutes", "home_address", "work_address")
 
 
 #: Days at which the lines through all activities meet, from the first to the last.
