@@ -30,7 +30,7 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task, as one from each node to the root of those that they connect."""
+    """The links of a task, as one from each node to the least of those that they connect."""
     roots: dict = {}
     kind, shape = None, None
 
@@ -45,7 +45,8 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = [c.to_pylist() if shape is None else [tuple(v.values()) for v in c.to_pylist()] for c in (batch.column("a"), batch.column("b"))]
         for a, b in zip(*ends, strict=True):
             x, y = (root(roots.setdefault(v, v)) for v in (a, b))
-            roots[x] = y
+            if x != y:
+                roots[max(x, y)] = min(x, y)
     if kind is not None:
         found = [(x, r) for x in roots if (r := root(x)) != x]
         back = lambda v: v if shape is None else dict(zip(shape, v, strict=True))
@@ -60,7 +61,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     and only whether labels moved comes to the driver.
     """
     links = links.select("a", "b").where("a <> b")
-    forest = links.mapInArrow(_forest, links.schema)
+    # Dealt evenly, however many links a node has; adaptive execution joins small partitions, so few links meet in one task and are solved there.
+    forest = links.repartition(F.xxhash64("a", "b")).mapInArrow(_forest, links.schema)
     both = stored(forest.union(forest.select("b", "a")).distinct(), "links")
     labels = stored(nodes.select("node", F.col("node").alias("comp")), "labels")
     while True:
