@@ -12,6 +12,8 @@ repeated rows each get their own result; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,31 @@ KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("issued", ISSUED
 STRETCH = 128
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _ends(gaps: Column, lens: Column) -> Column:
     """Where each match ends: running sums of the gaps and the matches.
 
     Sums of whole stretches and sums inside a stretch, so that a text with
     many matches costs little more than their number.
     """
-    steps = F.zip_with(lens, F.slice(gaps, F.lit(1), F.size(lens)), lambda a, b: a + b)
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int")), lambda q: total(F.slice(steps, q * STRETCH + 1, F.lit(STRETCH))))
-    held = F.struct(steps.alias("s"), F.transform(stretches, lambda _, q: total(F.slice(stretches, F.lit(1), q))).alias("before"))
-    at = lambda x: F.transform(x.s, lambda _, i: F.get(x.before, F.floor(i / STRETCH).cast("int")) + total(F.slice(x.s, F.floor(i / STRETCH).cast("int") * STRETCH + 1, i % STRETCH + 1)))
-    return F.element_at(F.transform(F.array(held), at), 1)
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+
+    def stretch(i: Column) -> Column:
+        return F.floor(i / STRETCH).cast("int")
+
+    def sums(steps: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), stretch(F.size(steps) - 1)), lambda q: total(F.slice(steps, q * STRETCH + 1, F.lit(STRETCH))))
+        before = _let(whole, lambda w: F.transform(w, lambda _, q: total(F.slice(w, F.lit(1), q))))
+        return _let(before, lambda held: F.transform(steps, lambda _, i: F.get(held, stretch(i)) + total(F.slice(steps, stretch(i) * STRETCH + 1, i % STRETCH + 1))))
+
+    steps = _let(lens, lambda n: F.zip_with(n, F.slice(gaps, F.lit(1), F.size(n)), lambda a, b: a + b))
+    return _let(steps, sums)
 
 
 def _spans(text: Column, kind: str, order: int, pattern: str) -> Column:
