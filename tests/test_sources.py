@@ -53,6 +53,36 @@ def test_zone_polygons(spark, tmp_path):
     assert got == {1: "A/Ring", 2: "B/Parts", 3: "B/Parts", 4: "Etc/GMT-2", 5: None, 6: "A/Ring"}
 
 
+def zone_file(path, shapes):
+    """A GeoJSON file of (zone, type, coordinates)."""
+    import json
+
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"tzid": z}, "geometry": {"type": t, "coordinates": c}} for z, t, c in shapes]}))
+    return str(path)
+
+
+def test_zone_polygons_against_brute_force(spark, tmp_path):
+    import math
+    import random
+
+    rng = random.Random(5)
+    star = lambda x, y, r: [[x + r * rng.uniform(0.3, 1) * math.cos(k * math.tau / 40), y + r * rng.uniform(0.3, 1) * math.sin(k * math.tau / 40)] for k in range(40)]
+    shapes = {f"Z/{k}": [star(rng.uniform(-20, 20), rng.uniform(-20, 20), 12), star(0, 0, 2)] for k in range(6)}
+    points = {k: (rng.uniform(-30, 30), rng.uniform(-30, 30)) for k in range(400)} | {400: (2.0, 4.0), 401: (-6.0, 0.0)}
+
+    def inside(x, y, rings):
+        return sum((p[1] > y) != (q[1] > y) and x < p[0] + (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) for r in rings for p, q in zip(r, r[1:] + r[:1], strict=True)) % 2
+
+    # As in the operator, the border's box says which cells a polygon meets.
+    box = lambda r: (min(p[0] for p in r) // 2, max(p[0] for p in r) // 2, min(p[1] for p in r) // 2, max(p[1] for p in r) // 2)
+    near = lambda x, y, b: b[0] <= x // 2 <= b[1] and b[2] <= y // 2 <= b[3]
+    want = {k: min((z for z, r in shapes.items() if near(x, y, box(r[0])) and inside(x, y, r)), default=None) for k, (x, y) in points.items()}
+    path = zone_file(tmp_path / "stars.json", [(z, "Polygon", r) for z, r in shapes.items()])
+    pts = spark.createDataFrame([(k, y, x) for k, (x, y) in points.items()], "k int, lat double, lon double")
+    got = {r.k: r.zone if r.zone.startswith("Z/") else None for r in zones.lookup(pts, "k", "lat", "lon", zones.polygons(spark, path)).collect()}
+    assert got == want and 20 < sum(z is not None for z in want.values()) < 400
+
+
 @pytest.fixture(scope="module")
 def export(tmp_path_factory):
     path = tmp_path_factory.mktemp("export")
@@ -116,6 +146,19 @@ def test_commutes(spark, export):
     assert [r.n_commutes for r in spans.collect()] == [2]
 
 
+def test_loaders_read_a_zone_file(spark, export, tmp_path):
+    lon, lat = sorted((B.MILL[1], B.QUAY[1])), sorted((B.MILL[0], B.QUAY[0]))
+    ring = [[lon[0] - 1, lat[0] - 1], [lon[1] + 1, lat[0] - 1], [lon[1] + 1, lat[1] + 1], [lon[0] - 1, lat[1] + 1]]
+    path = zone_file(tmp_path / "zones.json", [("Asia/Kolkata", "Polygon", [ring])])
+    acts, _ = api.load_strava_activities(spark, export, "America/New_York", None, api.ActivitiesConfig(clustering=None, zone_file=path))
+    by = {r.row_id: r.date for r in acts.collect()}
+    assert by[0] == datetime(2026, 1, 5, 13, 30) and by[2] == datetime(2026, 1, 7, 5, 0)
+    cache = str(tmp_path / "cache")
+    dates = lambda zone_file: {(r.description, r.segment): r.date for r in api.load_commute_activities(spark, export, "America/New_York", cache, api.CommuteConfig(clustering=None, zone_file=zone_file))[0].collect()}
+    boxes, ours = dates(None), dates(path)
+    assert {k: ours[k] - boxes[k] for k in boxes} == {("Logged", None): timedelta(0), ("Round trip", 1): timedelta(hours=13.5), ("Round trip", 2): timedelta(hours=13.5)}
+
+
 def test_commute_metrics_are_cached(spark, export, tmp_path, monkeypatch):
     cache, bare = str(tmp_path / "cache"), partial(api.CommuteConfig, clustering=None)
     load = lambda config, folder=cache: sorted(map(repr, api.load_commute_activities(spark, export, "America/New_York", folder, config)[0].collect()))

@@ -31,17 +31,20 @@ HomeZone = str | Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class ActivitiesConfig:
+    """``zone_file`` is a GeoJSON file of time zones; without one the table of boxes counts."""
+
     power_curve_max_s: int = 12 * 3600
     power_curve_density: int = 50
     ftp_window_s: float = 1200.0
     ftp_factor: float = 0.95
     weekly_anchor: str = "W-SUN"
     clustering: RouteClusterConfig | None = field(default_factory=RouteClusterConfig)
+    zone_file: str | None = None
 
 
 @dataclass(frozen=True)
 class CommuteConfig:
-    """Speeds are in km/h."""
+    """Speeds are in km/h; ``zone_file`` is as in ``ActivitiesConfig``."""
 
     delta: timedelta = timedelta(minutes=90)
     inactive_speed: float = 2.5
@@ -51,6 +54,7 @@ class CommuteConfig:
     clustering: RouteClusterConfig | None = field(default_factory=RouteClusterConfig)
     span_penalty: float = 100.0
     span_min_size: int = 2
+    zone_file: str | None = None
 
 
 @dataclass(frozen=True)
@@ -75,6 +79,14 @@ def _home(home_zone: HomeZone, utc: Column) -> Column:
     return home_zone(utc) if callable(home_zone) else F.lit(home_zone)
 
 
+def _zoned(first: DataFrame, keys: list[str], zone_file: str | None) -> DataFrame:
+    """(keys, lat, lon) with ``timezone``; null without a position."""
+    if zone_file is None:
+        return first.withColumn("timezone", zones.zone(F.col("lat"), F.col("lon")))
+    found = zones.lookup(first.withColumn("__at", F.struct(*keys)), "__at", "lat", "lon", zones.polygons(first.sparkSession, zone_file))
+    return first.join(found.select("__at.*", F.col("zone").alias("timezone")), keys, "left")
+
+
 def _config_key(config: object) -> str:
     """What the metrics of single files depend on."""
     return repr({k: v for k, v in asdict(config).items() if k not in ("clustering", "weekly_anchor", "span_penalty", "span_min_size")})
@@ -136,12 +148,12 @@ def load_activity_coords(spark: SparkSession, files: DataFrame | Iterable[str],
 def file_metrics(rows: DataFrame, config: ActivitiesConfig, curves: DataFrame | None = None) -> DataFrame:
     """(filename, timezone, has_location, max_heart_rate, estimated_ftp) of each file."""
     t = rows.withColumn("t", X.seconds("ts"))
-    first = activity.first_position(t, ["filename"], "t", "seq")
+    first = _zoned(activity.first_position(t, ["filename"], "t", "seq"), ["filename"], config.zone_file)
     base = t.groupBy("filename").agg(F.max("heart_rate").alias("max_heart_rate"))
     curves = curves if curves is not None else power_curves_of(rows, config)
     ftp = activity.estimated_ftp(curves, ["filename"], config.ftp_window_s, config.ftp_factor).withColumnRenamed("ftp", "estimated_ftp")
     out = base.join(first, "filename", "left").join(ftp, "filename", "left")
-    return out.select("filename", zones.zone(F.col("lat"), F.col("lon")).alias("timezone"), F.col("lat").isNotNull().alias("has_location"), "max_heart_rate", "estimated_ftp")
+    return out.select("filename", "timezone", F.col("lat").isNotNull().alias("has_location"), "max_heart_rate", "estimated_ftp")
 
 
 def power_curves_of(rows: DataFrame, config: ActivitiesConfig) -> DataFrame:
@@ -258,10 +270,9 @@ def commute_metrics(segmented: DataFrame, config: CommuteConfig = CommuteConfig(
     keyed = segmented.withColumn("seg", F.coalesce("segment", F.lit(-1)))
     m = activity.segment_metrics(keyed, ["filename", "seg"], "t", "seq", "distance", config.stopped_speed / 3600, config.min_stop_duration.total_seconds())
     start = keyed.groupBy("filename", "seg").agg(F.min("ts").alias("ts"))
-    first = activity.first_position(keyed, ["filename", "seg"], "t", "seq")
+    first = _zoned(activity.first_position(keyed, ["filename", "seg"], "t", "seq"), ["filename", "seg"], config.zone_file)
     out = m.join(start, ["filename", "seg"]).join(first, ["filename", "seg"], "left")
-    zone = zones.zone(F.col("lat"), F.col("lon"))
-    local = F.when(zone.isNull(), F.col("ts")).otherwise(X.local_time(F.col("ts"), zone))
+    local = F.when(F.col("timezone").isNull(), F.col("ts")).otherwise(X.local_time(F.col("ts"), F.col("timezone")))
     out = out.withColumn("date", local)
     return out.select("filename", F.when(F.col("seg") >= 0, F.col("seg")).alias("segment"), "date", X.direction(F.col("date"), config.morning_cutoff_hour).alias("direction"), "distance", "elapsed_s", "moving_s")
 

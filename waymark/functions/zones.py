@@ -3,7 +3,8 @@
 ``BOXES`` follow borders roughly; most of their faults lie between zones that
 keep the same time.  Where borders matter, callers read the polygons of a
 GeoJSON file (a feature for each zone, ``tzid`` its name) with ``polygons``
-and look positions up in them with ``lookup``.
+and look positions up in them with ``lookup``, as the loaders do when their
+configuration names such a file.
 """
 
 from __future__ import annotations
@@ -182,21 +183,29 @@ def polygons(spark: SparkSession, path: str) -> DataFrame:
 def lookup(points: DataFrame, key: str, lat: str, lon: str, shapes: DataFrame) -> DataFrame:
     """(key, zone) of points: the first zone by name whose polygon holds the point, else the sea zone.
 
-    Polygons meet points in grid cells that their boxes touch; a point lies
-    inside where a line to its east crosses the rings an odd number of times.
+    Polygons meet points in grid cells that their boxes touch, and bring to a
+    cell only the edges at its latitudes; a point lies inside where a line to
+    its east crosses an odd number of them.
     """
-    axis = lambda k: F.transform(F.col("rings")[0], lambda p: p[k])
-    box = shapes.select("zone", "rings", *[F.floor(f(axis(k)) / CELL).alias(n) for n, f, k in (("w", F.array_min, 0), ("e", F.array_max, 0), ("s", F.array_min, 1), ("n", F.array_max, 1))])
-    cells = box.select("zone", "rings", F.explode(F.sequence("s", "n")).alias("cy"), "w", "e").select("zone", "rings", "cy", F.explode(F.sequence("w", "e")).alias("cx"))
-    pts = points.select(key, F.col(lat).alias("__y"), F.col(lon).alias("__x"))
-    placed = pts.withColumn("cy", F.floor(F.col("__y") / CELL)).withColumn("cx", F.floor(F.col("__x") / CELL))
 
-    def crossings(r: Column) -> Column:
-        ends = F.arrays_zip(r.alias("p"), F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)).alias("q"))
-        above = lambda p: p[1] > F.col("__y")
-        cut = lambda e: (above(e.p) != above(e.q)) & (F.col("__x") < e.p[0] + (e.q[0] - e.p[0]) * F.try_divide(F.col("__y") - e.p[1], e.q[1] - e.p[1]))
-        return F.size(F.filter(ends, cut))
+    def axis(k: int) -> Column:
+        return F.transform(F.col("rings")[0], lambda p: p[k])
+
+    def edges(r: Column) -> Column:
+        return F.arrays_zip(r.alias("p"), F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)).alias("q"))
+
+    def at_row(e: Column) -> Column:
+        return (F.greatest(e.p[1], e.q[1]) >= F.col("cy") * CELL) & (F.least(e.p[1], e.q[1]) <= (F.col("cy") + 1) * CELL)
 
-    odd = F.aggregate(F.transform("rings", crossings), F.lit(0), lambda a, n: a + n) % 2 == 1
+    def crossed(e: Column) -> Column:
+        sides = (e.p[1] > F.col("__y")) != (e.q[1] > F.col("__y"))
+        return sides & (F.col("__x") < e.p[0] + (e.q[0] - e.p[0]) * F.try_divide(F.col("__y") - e.p[1], e.q[1] - e.p[1]))
+
+    box = shapes.select("zone", F.flatten(F.transform("rings", edges)).alias("edges"), *[F.floor(f(axis(k)) / CELL).alias(n) for n, f, k in (("w", F.array_min, 0), ("e", F.array_max, 0), ("s", F.array_min, 1), ("n", F.array_max, 1))])
+    rows = box.select("zone", "edges", "w", "e", F.explode(F.sequence("s", "n")).alias("cy")).withColumn("edges", F.filter("edges", at_row))
+    cells = rows.select("zone", "edges", "cy", F.explode(F.sequence("w", "e")).alias("cx"))
+    pts = points.select(key, F.col(lat).alias("__y"), F.col(lon).alias("__x"))
+    placed = pts.withColumn("cy", F.floor(F.col("__y") / CELL)).withColumn("cx", F.floor(F.col("__x") / CELL))
+    odd = F.size(F.filter("edges", crossed)) % 2 == 1
     found = placed.join(cells, ["cy", "cx"]).where(odd).groupBy(key).agg(F.min("zone").alias("zone"))
     return pts.join(found, key, "left").select(key, F.when(F.col("__y").isNotNull() & F.col("__x").isNotNull(), F.coalesce("zone", _sea(F.col("__x")))).alias("zone"))
