@@ -588,3 +588,17 @@ def test_slices_cover():
     parts = list(slices(batch, most=15))
     assert [t for _, x in parts for t in x] == texts and [k for p, _ in parts for k in p.column("k").to_pylist()] == list(range(5)) and len(parts) == 2
     assert list(slices(batch[:0])) == []
+
+
+def test_batches_to_python_are_small(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)], "bytes": [batch.nbytes]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, texts = spark.conf.get(limit), spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefgh', 300) as text")
+    got = common.shared_table(texts.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r.n for r in got) == 6000 and max(r.bytes for r in got) < 5 << 20
+    assert spark.conf.get(limit) == before

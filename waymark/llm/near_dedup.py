@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import PLACE, marked, placed, release, row_hash, shared_table, without
-from waymark.llm.words import Hashes, U, hashed, mix, slices
+from waymark.llm.words import Hashes, U, give_back, hashed, mix, slices
 from waymark.operators import graph
 
 SHINGLE = 5
@@ -203,6 +203,8 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, cell = [], here
             held.append((key, side, values.copy(), part))
     yield links()
+    held.clear()
+    give_back()
 
 
 def _cells(cells: DataFrame, sets: DataFrame) -> DataFrame:
